@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.decontaminate import contamination
 from lexmill.llm.knn_quality import classify
+from lexmill.llm.lm_score import lm_score
 from lexmill.llm.minhash import near_duplicates
 from lexmill.llm.mixing import mix
+from lexmill.llm.suffix_family import repeats
 from lexmill.llm.token_planes import token_planes
 
 
@@ -25,10 +27,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +50,9 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
+    "op5_lm_score": op5_lm_score,
     "op6_decontamination": op6_decontamination,
+    "op7_repeated_passages": op7_repeated_passages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_planes": op10_token_planes,
 }
