@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.decontaminate import contamination
+from lexmill.llm.edit_counts import counts_after
 from lexmill.llm.knn_quality import classify
+from lexmill.llm.link_trust import filter_urls
+from lexmill.llm.link_trust import sql as link_trust_sql
 from lexmill.llm.lm_score import lm_score
 from lexmill.llm.minhash import near_duplicates
 from lexmill.llm.mixing import mix
@@ -27,6 +30,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts_after(_table(spark, sf_dir, "documents"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +46,10 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,12 +61,14 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
+    "op4_token_counts": op4_token_counts,
     "op5_lm_score": op5_lm_score,
     "op6_decontamination": op6_decontamination,
     "op7_repeated_passages": op7_repeated_passages,
+    "op8_url_filter": op8_url_filter,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_planes": op10_token_planes,
 }
 
-#: None of these can be expressed in SQL at reasonable cost; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be expressed in SQL at reasonable cost; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": link_trust_sql()}
