@@ -12,6 +12,7 @@ from lexmill.llm.knn_quality import classify
 from lexmill.llm.link_trust import filter_urls
 from lexmill.llm.link_trust import sql as link_trust_sql
 from lexmill.llm.lm_score import lm_score
+from lexmill.llm.media import copies, render
 from lexmill.llm.minhash import near_duplicates
 from lexmill.llm.mixing import mix
 from lexmill.llm.suffix_family import repeats
@@ -26,6 +27,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(render(_table(spark, sf_dir, "pages")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_media_copies": op2_media_copies,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op5_lm_score": op5_lm_score,
