@@ -146,6 +146,39 @@ class Family:
         self.levels = []
 
 
+def _spans(table: pa.Table, length: int):
+    """Spans of windows that occur in two runs at least, of all runs of some leads."""
+    lists = table["hashes"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size = np.diff(lists.offsets.to_numpy())
+    h = lists.flatten().to_numpy()
+    run = np.repeat(np.arange(len(size)), size)
+    doc = table["doc_id"].to_numpy()
+    start = table["start"].to_numpy()[run] + np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    by = np.lexsort((run, h))
+    h, run, start = h[by], run[by], start[by]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    head = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    fresh = np.concatenate([[True], new[1:] | (run[1:] != run[:-1])])
+    repeated = np.add.reduceat(fresh.astype(np.int64), head)[group] > 1
+    none = np.iinfo(np.int64).max
+    own = doc[run]
+    least = np.minimum.reduceat(own, head)[group]
+    second = np.minimum.reduceat(np.where(own == least, none, own), head)[group]
+    other = np.where(own != least, least, second)[repeated]
+    own, start = own[repeated], start[repeated]
+    if not len(own):
+        return
+    # windows that follow each other in a document are one row
+    by = np.lexsort((start, own))
+    own, start, other = own[by], start[by], other[by]
+    cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] > start[:-1] + 1)]))
+    last = np.append(cut[1:], len(own)) - 1
+    away = np.minimum.reduceat(other, cut)
+    yield pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.array(start[cut].astype(np.int32)), pa.array((start[last] + length).astype(np.int32)), pa.array(np.where(away == none, own[cut], away))], ["doc_id", "start", "end", "other"])
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, batches: int = BATCHES, send_mb: int = SEND_MB) -> DataFrame:
     """(doc_id, start, end, n_words, other): maximal spans of words [start, end) of windows that occur again.
 
@@ -194,38 +227,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, batches
     met = text.mapInArrow(read, "lead bigint, doc_id bigint, start int, hashes array<bigint>")
     if sent is None:
         met = met.join(leads, "lead", "left_semi")
+    # rows that repeat a document would repeat its windows
     met = met.dropDuplicates(["lead", "doc_id", "start", "hashes"])
 
-    def confirm(table: pa.Table) -> pa.Table:
-        lists = table["hashes"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        size = np.diff(lists.offsets.to_numpy())
-        h = lists.flatten().to_numpy()
-        run = np.repeat(np.arange(len(size)), size)
-        doc = table["doc_id"].to_numpy()
-        start = table["start"].to_numpy()[run] + np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-        by = np.lexsort((doc[run], run, h))
-        h, run, start = h[by], run[by], start[by]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (run[1:] != run[:-1])])
-        repeated = np.add.reduceat(fresh.astype(np.int64), head)[group] > 1
-        own = doc[run]
-        least = np.minimum.reduceat(own, head)
-        # the least doc_id but the first
-        second = np.minimum.reduceat(np.where(own == least[group], np.iinfo(np.int64).max, own), head)[group]
-        other = np.where(own != least[group], least[group], np.where(second == np.iinfo(np.int64).max, own, second))
-        own, start, other = own[repeated], start[repeated], other[repeated]
-        # windows that follow each other in a document are one row
-        by = np.lexsort((start, own))
-        own, start, other = own[by], start[by], other[by]
-        cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] > start[:-1] + 1)])) if len(own) else np.empty(0, np.int64)
-        last = np.append(cut[1:], len(own)) - 1 if len(cut) else cut
-        low = np.array([other[a : b + 1].min() for a, b in zip(cut, last, strict=True)], np.int64)
-        away = np.array([min((x for x in other[a : b + 1] if x != own[a]), default=own[a]) for a, b in zip(cut, last, strict=True)], np.int64) if len(cut) else low
-        return pa.table({"doc_id": pa.array(own[cut]), "start": pa.array(start[cut].astype(np.int32)), "end": pa.array((start[last] + length).astype(np.int32)), "other": pa.array(away)})
-
-    spans = met.groupBy("lead").applyInArrow(confirm, "doc_id bigint, start int, end int, other bigint")
+    def confirm(batches_):
+        """Rows come sorted by lead; a lead that goes on in the next batch waits for it."""
+        rest = None
+        for batch in batches_:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            lead = table["lead"].to_numpy()
+            n = int(np.searchsorted(lead == lead[-1], True)) if len(lead) else 0
+            rest = table.slice(n)
+            if n:
+                yield from _spans(table.slice(0, n), length)
+        if rest is not None and rest.num_rows:
+            yield from _spans(rest, length)
+
+    # each partition is read in the order of leads: few calls, however many leads there are
+    spans = met.repartition("lead").sortWithinPartitions("lead").mapInArrow(confirm, "doc_id bigint, start int, end int, other bigint")
     by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
     before = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     island = spans.withColumn("new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("island", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
