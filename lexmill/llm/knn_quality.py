@@ -2,8 +2,8 @@
 
 1. A document is a set of terms: its words and *shape* terms (how much of it is capitals, symbols, separators, repeated words ...).
 2. From a bounded sample of labelled documents (``max_labelled`` rows, the least hashes of doc_id; the bound is the only one) each term
-   gets, for either label, its smoothed log-odds ratio; of those at least ``min_z`` standard errors from 0 the ``max_terms`` largest are kept,
-   weighted by the square. What tells little thus weighs little, however often it occurs.
+   gets, for either label, its smoothed log-odds ratio; of those whose likelihood ratio statistic is ``min_z`` squared at least (``min_shape_z`` for the few shape terms) the ``max_terms`` largest are kept, weighted
+   by the square. What tells little thus weighs little, however often it occurs.
    A constant term that every document has stands for what is ordinary.
 3. The singular value decomposition of the weighted sample matrix gives the latent space; the labelled vectors in it are broadcast:
    at most max_labelled x dims floats, whatever the input. ``fit`` checks that size.
@@ -30,7 +30,7 @@ from lexmill.session import ship
 
 MAX_LABELLED, MAX_TERMS, DIMS, NEIGHBOURS = 8192, 1024, 64, 15
 CONSTANT_WEIGHT = 4.0
-MIN_Z, MIN_QUALITY, MAX_TOXIC, MODEL_MB = 3.2, 0.5, 0.5, 64
+MIN_Z, MIN_SHAPE_Z, MIN_QUALITY, MAX_TOXIC, MODEL_MB = 4.2, 3.0, 0.5, 0.5, 64
 OUT = "doc_id bigint, quality_score double, toxic_score double, keep boolean"
 
 _UPPER = np.zeros(256, bool)
@@ -143,7 +143,7 @@ class Model:
         return good, toxic
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS, dims: int = DIMS, k: int = NEIGHBOURS, min_z: float = MIN_Z) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS, dims: int = DIMS, k: int = NEIGHBOURS, min_z: float = MIN_Z, min_shape_z: float = MIN_SHAPE_Z) -> Model | None:
     """The model of a bounded sample of labelled rows; None if there are no usable labels."""
     usable = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).dropna()
     sample = usable.orderBy(F.xxhash64("__id"), "__id", "q", "t").limit(max_labelled)
@@ -166,12 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     each = seen.select("q", "t", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("q") > 0, 1).otherwise(0)).alias("q"), F.sum(F.when(F.col("t") > 0, 1).otherwise(0)).alias("t"))
 
     def odds(have: str, total: int):
-        # log-odds of the term in one class against the other with add-1/2 smoothing; 0 where it is under min_z standard errors
-        a, c = F.col(have) + 0.5, F.col("n") - F.col(have) + 0.5
-        b, d = F.lit(total + 1.0) - a, F.lit(n - total + 1.0) - c
-        ratio = F.abs(F.log(a * d / (b * c)))
-        return F.when(ratio / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d) >= min_z, ratio).otherwise(0.0)
-
+        # log-odds of the term in one class against the other with add-1/2 smoothing; 0 where the likelihood ratio says little
+        have_, n_ = F.col(have).cast("double"), F.col("n").cast("double")
+        cell = lambda x, row, side: F.when(x > 0, x * F.log(x * n / (row * side))).otherwise(0.0)
+        table = [(have_, n_, total), (n_ - have_, n_, n - total), (total - have_, n - n_, total), (n - total - n_ + have_, n - n_, n - total)]
+        g = 2 * sum((cell(x, row, F.lit(float(side))) for x, row, side in table), F.lit(0.0))
+        a, c = have_ + 0.5, n_ - have_ + 0.5
+        return F.when(g >= F.when(F.col("term").isin(*shape), min_shape_z**2).otherwise(min_z**2), F.abs(F.log(a * (n - total + 1.0 - c) / ((total + 1.0 - a) * c)))).otherwise(0.0)
+
+    shape = [int(x) for x in mix(np.arange(_SHAPES * len(_STEPS), dtype=np.uint64) + np.uint64(1000)).view(np.int64)]
     top = each.where(F.col("term") != int(_CONSTANT)).withColumn("w", F.greatest(odds("q", size[1]), odds("t", size[2]))).where("w > 0").orderBy(F.desc("w"), "term").limit(max_terms).collect()
     vocab = np.array([np.uint64(0)] + [np.uint64(r["term"] & 0xFFFFFFFFFFFFFFFF) for r in top], np.uint64)
     weight = np.array([CONSTANT_WEIGHT] + [r["w"] ** 2 for r in top], np.float32)
