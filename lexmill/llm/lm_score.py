@@ -121,6 +121,9 @@ class Automaton:
         score = np.zeros(len(row))
         for t in range(-(self.order - 1), int(length.max()) if len(length) else 0):
             live = int(np.searchsorted(-length, -t, "left")) if t >= 0 else len(row)
+            if t == 0:
+                # the zeros before a text are never predicted, so arcs needn't lead through them
+                state[inner == 0] = self.start
             state[:live], step = self.advance(state[:live], seq[begin[:live] + t])
             if t >= 0:
                 score[:live] += step
