@@ -1,0 +1,57 @@
+import random
+
+from lexmill.llm.edit_counts import TOKENIZER, Tree, counts_after, counts_after_table, cuts, encoding, follow, redactions
+
+ENC = encoding(open(TOKENIZER, "rb").read())
+
+
+def count(s):
+    return len(ENC.encode_ordinary(s))
+
+
+def apply(text, edits):
+    for start, n, new in edits:
+        start = min(max(start, 0), len(text))
+        text = text[:start] + new + text[start + max(n, 0) :]
+    return text
+
+
+def test_any_edits_equal_a_recount():
+    rng = random.Random(8)
+    parts = ["a", " ", "  ", "\n", "The", "x9", "...", "'s", " é", " ", " ", "12"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 120)))
+        tree = Tree(text, count, 8)
+        for _ in range(10):
+            e = (rng.randint(0, len(text) + 2), rng.choice([0, 0, 1, 2, 5, 30]), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 9, 200]))))
+            tree.edit(*e)
+            text = apply(text, [e])
+            assert "".join(tree.leaves) == text and tree.chars[1] == len(text) and tree.tokens[1] == count(text)
+
+
+def test_only_the_region_is_encoded():
+    text = " ".join(f"word{i}" for i in range(5000))
+    n, before, after, encoded, chars = follow(text, [(20000, 3, "new"), (100, 0, "x ")], count)
+    assert (n, before, after) == (2, count(text), count(apply(text, [(20000, 3, "new"), (100, 0, "x ")])))
+    assert encoded < 0.06 * before and chars == len(text) + 2
+    assert sum(map(count, cuts(text))) == count(text)
+
+
+def test_whole_table(documents):
+    got = {r["doc_id"]: r for r in counts_after(documents).collect()}
+    for r in documents.collect():
+        edits = redactions(r["text"])
+        x = got[r["doc_id"]]
+        assert (x["n_edits"], x["tokens_before"], x["tokens_after"]) == (len(edits), count(r["text"]), count(apply(r["text"], edits)))
+    assert any(x["n_edits"] for x in got.values())
+
+
+def test_table_of_edits_and_odd_rows(spark, odd, nothing):
+    edits = spark.createDataFrame([(2, 2, 0, 3, None), (2, 1, 4, 0, "very "), (3, 1, 5, 5, "fresh"), (4, 1, None, None, "x y"), (None, 1, 0, 9, "q"), (6, 1, -5, 99, "")], "doc_id bigint, seq int, start int, n int, new string")
+    got = {r["doc_id"]: r for r in counts_after_table(odd, edits).collect() if r["doc_id"] is not None}
+    text = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    assert got[2]["tokens_after"] == count(apply(text[2], [(4, 0, "very "), (0, 3, "")]))
+    assert (got[3]["tokens_before"], got[3]["tokens_after"]) == (0, count("fresh"))
+    assert got[4]["tokens_after"] == count("x y") and got[6]["tokens_after"] == 0 and got[8]["n_edits"] == 0
+    assert counts_after(odd).count() == counts_after_table(odd, edits).count() == odd.count()
+    assert counts_after(nothing).collect() == [] and counts_after_table(nothing, edits).collect() == []
