@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexmill.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     """Every query of the library by name."""
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by the name of the query."""
-    return {}
+    _load()
+    return dict(SQL)
+
+
+def _load() -> None:
+    from lexmill.plans import pages, text  # noqa: F401
