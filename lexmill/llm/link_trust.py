@@ -4,7 +4,7 @@ Nodes are hosts of page URLs and of absolute links in their HTML. An edge a -> b
 the own host make no edge. A host with a common prefix label (www, m, blog, ...) and its site, the host without it, have edges of weight 1 both ways.
 
 Trust is PageRank personalised to trusted sites: mass starts there, follows edges in proportion to their weights with probability ``DAMPING`` and else restarts.
-Distrust is the same from blocked sites over reversed edges, so a host that links to blocked ones becomes suspect. Mass at hosts without an edge to follow restarts.
+Distrust is the same from blocked sites over reversed edges, so a host that links to blocked ones becomes suspect. Mass at hosts without an edge to follow is lost.
 A seed is a site one of whose labels is in the list. Ranks are stated in units of an equal share of a seed, so that they don't shrink as the graph grows.
 
 A host is rejected where its distrust is at least ``MIN_DISTRUST`` and above its trust.
@@ -57,27 +57,19 @@ def host_ranks(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: tu
     edges = host_edges(pages, prefixes)
     out_sum = edges.groupBy("src").agg(F.sum("weight").alias("o"))
     in_sum = edges.groupBy("dst").agg(F.sum("weight").alias("i"))
-    shares = cut(edges.join(out_sum, "src").join(in_sum, "dst").select("src", "dst", (F.col("weight") / F.col("o")).alias("ahead"), (F.col("weight") / F.col("i")).alias("back")))
-    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").unionByName(shares.select(F.col("src").alias("host"))).unionByName(shares.select(F.col("dst").alias("host"))).distinct()
-    first = F.substring_index("host", ".", 1)
-    bare = ~first.isin(*prefixes)
-    named = hosts.select("host", F.when(bare & _seed(F.col("host"), trusted), 1.0).otherwise(0.0).alias("ts"), F.when(bare & _seed(F.col("host"), blocked), 1.0).otherwise(0.0).alias("ds"))
-    total = named.agg(F.sum("ts").alias("nt"), F.sum("ds").alias("nd"))
-    # ranks are in units of a seed's share: the sum over hosts is the number of seeds
-    state = cut(named.crossJoin(F.broadcast(total)).select("host", "ts", "ds", "nt", "nd", F.col("ts").alias("t"), F.col("ds").alias("d")))
+    shares = edges.join(out_sum, "src").join(in_sum, "dst").select("src", "dst", (F.col("weight") / F.col("o") * damping).alias("ahead"), (F.col("weight") / F.col("i") * damping).alias("back"))
+    # trust flows from src to dst, distrust from dst to src
+    flows = shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("ahead").alias("wt"), F.lit(0.0).alias("wd")).unionByName(shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), F.col("back").alias("wd")))
+    flows = cut(flows.groupBy("host", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd")))
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").unionByName(flows.select("host")).distinct()
+    bare = ~F.substring_index("host", ".", 1).isin(*prefixes)
+    named = cut(hosts.select("host", F.when(bare & _seed(F.col("host"), trusted), 1.0).otherwise(0.0).alias("t"), F.when(bare & _seed(F.col("host"), blocked), 1.0).otherwise(0.0).alias("d")))
+    base = named.select("host", (F.col("t") * (1 - damping)).alias("t"), (F.col("d") * (1 - damping)).alias("d"))
+    state = named
     for step in range(steps):
-        moved = shares.join(state.select(F.col("host").alias("src"), "t"), "src").select(F.col("dst").alias("host"), (F.col("t") * F.col("ahead")).alias("t"), F.lit(0.0).alias("d"))
-        back = shares.join(state.select(F.col("host").alias("dst"), "d"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("d") * F.col("back")).alias("d"))
-        got = moved.unionByName(back).groupBy("host").agg(F.sum("t").alias("gt"), F.sum("d").alias("gd"))
-        lost = got.agg(F.coalesce(F.sum("gt"), F.lit(0.0)).alias("st"), F.coalesce(F.sum("gd"), F.lit(0.0)).alias("sd"))
-        next_ = state.drop("t", "d").join(got, "host", "left").crossJoin(F.broadcast(lost))
-
-        def rank(seed: str, n: str, got_: str, sum_: str) -> Column:
-            restart = F.when(F.col(n) > 0, F.col(seed) / F.col(n) * (F.col(n) - damping * F.col(sum_))).otherwise(0.0)
-            return restart + damping * F.coalesce(F.col(got_), F.lit(0.0))
-
-        state = next_.select("host", "ts", "ds", "nt", "nd", rank("ts", "nt", "gt", "st").alias("t"), rank("ds", "nd", "gd", "sd").alias("d"))
-        if step % 2:
+        moved = state.join(flows, "host").select(F.col("to").alias("host"), (F.col("t") * F.col("wt")).alias("t"), (F.col("d") * F.col("wd")).alias("d"))
+        state = moved.unionByName(base).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+        if step % 4 == 3:
             state = cut(state)
     return state.select("host", F.round("t", 9).alias("trust"), F.round("d", 9).alias("distrust"))
 
@@ -103,15 +95,10 @@ def sql(trusted: tuple[str, ...] = TRUSTED, blocked: tuple[str, ...] = BLOCKED,
         "edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM linked UNION ALL SELECT src, dst, 1.0 FROM sites UNION ALL SELECT dst, src, 1.0 FROM sites) GROUP BY src, dst)",
         "shares AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS ahead, weight / sum(weight) OVER (PARTITION BY dst) AS back FROM edges)",
         "hosts AS (SELECT src AS host FROM seen WHERE src IS NOT NULL UNION SELECT src FROM shares UNION SELECT dst FROM shares)",
-        f"seeds AS MATERIALIZED (SELECT host, (NOT list_contains({items(prefixes)}, split_part(host, '.', 1)) AND list_has_any(string_split(host, '.'), {items(trusted)}))::INT::DOUBLE AS ts, (NOT list_contains({items(prefixes)}, split_part(host, '.', 1)) AND list_has_any(string_split(host, '.'), {items(blocked)}))::INT::DOUBLE AS ds FROM hosts)",
-        "total AS MATERIALIZED (SELECT sum(ts) AS nt, sum(ds) AS nd FROM seeds)",
-        "r0 AS MATERIALIZED (SELECT host, ts AS t, ds AS d FROM seeds)",
+        f"r0 AS MATERIALIZED (SELECT host, (NOT list_contains({items(prefixes)}, split_part(host, '.', 1)) AND list_has_any(string_split(host, '.'), {items(trusted)}))::INT::DOUBLE AS t, (NOT list_contains({items(prefixes)}, split_part(host, '.', 1)) AND list_has_any(string_split(host, '.'), {items(blocked)}))::INT::DOUBLE AS d FROM hosts)",
     ]
     for i in range(steps):
-        parts += [
-            f"g{i} AS MATERIALIZED (SELECT host, sum(t) AS gt, sum(d) AS gd FROM (SELECT dst AS host, t * ahead AS t, 0.0 AS d FROM shares JOIN r{i} ON host = src UNION ALL SELECT src, 0.0, d * back FROM shares JOIN r{i} ON host = dst) GROUP BY host)",
-            f"r{i + 1} AS MATERIALIZED (SELECT s.host, CASE WHEN nt > 0 THEN ts / nt * (nt - {damping} * st) ELSE 0 END + {damping} * coalesce(gt, 0) AS t, CASE WHEN nd > 0 THEN ds / nd * (nd - {damping} * sd) ELSE 0 END + {damping} * coalesce(gd, 0) AS d FROM seeds s LEFT JOIN g{i} g ON g.host = s.host CROSS JOIN total CROSS JOIN (SELECT coalesce(sum(gt), 0) AS st, coalesce(sum(gd), 0) AS sd FROM g{i}))",
-        ]
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT dst AS host, {damping} * t * ahead AS t, 0.0 AS d FROM shares JOIN r{i} ON host = src UNION ALL SELECT src, 0.0, {damping} * d * back FROM shares JOIN r{i} ON host = dst UNION ALL SELECT host, {1 - damping} * t, {1 - damping} * d FROM r0) GROUP BY host)")
     return "WITH " + ",\n".join(parts) + f"""
 SELECT page_id, src AS host, trust, distrust, coalesce(NOT (distrust >= {min_distrust} AND distrust > trust), true) AS keep
 FROM (SELECT DISTINCT page_id, url, src FROM seen) LEFT JOIN (SELECT host, round(t, 9) AS trust, round(d, 9) AS distrust FROM r{steps}) ON host = src"""
