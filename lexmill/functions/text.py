@@ -165,10 +165,15 @@ def category(c: Column | str) -> Column:
     return F.when(best >= 1.0, out).otherwise("II")
 
 
+def _first(sentences: Column, term: str) -> Column:
+    # a default argument would count as a second parameter of the lambda
+    return F.get(F.filter(sentences, lambda s: F.lower(s).contains(term)), F.lit(0))
+
+
 def keyword_sentence(c: Column | str, terms: list[str]) -> Column:
     """The first sentence that contains the first term present."""
-    sentences = F.transform(F.split(col(c), r"\."), lambda x: F.trim(x))
-    return F.coalesce(*[F.get(F.filter(sentences, lambda s, t=t: F.lower(s).contains(t)), F.lit(0)) for t in terms])
+    sentences = F.transform(F.split(col(c), r"\."), lambda x: F.trim(x, F.lit("\n ")))
+    return F.coalesce(*[_first(sentences, t) for t in terms])
 
 
 def band(c: Column | str, cuts: list[tuple[float, str]], rest: str) -> Column:

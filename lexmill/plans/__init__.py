@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from lexmill.plans import pages, text  # noqa: F401
+    from lexmill.plans import graph, legal, metrics, pages, regulations, scores, text  # noqa: F401
