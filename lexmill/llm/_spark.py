@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """The same as a compressed table in the shared folder, for what is large."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b) of bigint: rows (node, root), root the least node.
 

@@ -28,7 +28,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies(render(_table(spark, sf_dir, "pages")))
+    return copies(render(_table(spark, sf_dir, "pages")))[1]
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
