@@ -1,18 +1,18 @@
 """Term lists and ordered rules, as data."""
 
 DOCUMENT_TYPES = [
-    ("INSTRUCTION", ["instruction", "i-20", "cbi-"]),
-    ("REGLEMENT", ["reglement", "r-20", "cbr-", "rglt"]),
-    ("CODE_PENAL", ["code", "penal", "pénal"]),
-    ("DECISION", ["decision", "dec-", "dcobac"]),
-    ("LETTRE_CIRCULAIRE", ["lc-", "lettre", "circulaire"]),
+    ("INSTRUCTION", ["cbi-", "i-20", "instruction"]),
+    ("REGLEMENT", ["rglt", "cbr-", "r-20", "reglement"]),
+    ("CODE_PENAL", ["pénal", "penal", "code"]),
+    ("DECISION", ["dcobac", "dec-", "decision"]),
+    ("LETTRE_CIRCULAIRE", ["circulaire", "lettre", "lc-"]),
 ]
-LEGAL_TERMS = ["article", "règlement", "instruction", "cobac", "cemac", "chapitre", "section", "titre", "commission", "bancaire"]
-ACCEPTANCE_TERMS = ["commission bancaire", "cobac", "cemac", "règlement", "instruction", "article", "chapitre", "decide", "adopte", "vu"]
-CRITICAL = ["dissolution", "retrait d'agrément", "suspension", "fermeture", "amende", "emprisonnement", "pénal", "criminel"]
-HIGH = ["capital", "risque", "sanction", "pénalité", "obligation", "interdiction", "limite", "ratio", "prudentiel", "systémique", "blanchiment", "terrorisme", "compliance", "gouvernance"]
-EXPORT_HIGH = ["obligation", "interdit", "doit", "sanction", "pénalité", "amende", "suspension", "retrait", "révocation", "capital", "fonds propres", "ratio", "limite", "maximum", "minimum", "délai", "immédiat"]
-EXPORT_MEDIUM = ["peut", "devrait", "recommandé", "rapport", "information", "communication", "notification", "déclaration", "procédure"]
+LEGAL_TERMS = ["article", "bancaire", "cemac", "chapitre", "cobac", "commission", "instruction", "règlement", "section", "titre"]
+ACCEPTANCE_TERMS = ["adopte", "article", "cemac", "chapitre", "cobac", "commission bancaire", "decide", "instruction", "règlement", "vu"]
+CRITICAL = ["amende", "criminel", "dissolution", "emprisonnement", "fermeture", "pénal", "retrait d'agrément", "suspension"]
+HIGH = ["blanchiment", "capital", "compliance", "gouvernance", "interdiction", "limite", "obligation", "prudentiel", "pénalité", "ratio", "risque", "sanction", "systémique", "terrorisme"]
+EXPORT_HIGH = ["amende", "capital", "doit", "délai", "fonds propres", "immédiat", "interdit", "limite", "maximum", "minimum", "obligation", "pénalité", "ratio", "retrait", "révocation", "sanction", "suspension"]
+EXPORT_MEDIUM = ["communication", "devrait", "déclaration", "information", "notification", "peut", "procédure", "rapport", "recommandé"]
 REQUIREMENT = ["doit", "obligation", "exigence", "requis", "nécessaire"]
 PENALTY = ["sanction", "pénalité", "amende", "suspension", "retrait", "révocation"]
 THEMES = {
@@ -25,14 +25,14 @@ THEMES = {
     "liquidity": ["liquidité", "liquidity", "trésorerie"],
     "audit": ["audit", "contrôle interne", "vérification"],
 }
-ACCURACY_TERMS = ["commission bancaire", "cobac", "cemac", "établissement de crédit", "fonds propres", "ratio de solvabilité", "surveillance", "règlement", "instruction"]
-MISSPELT = ["ariicle", "regiement", "commision"]
-ARTICLE_WORDS = ["doit", "doivent", "est", "sont", "peut", "peuvent", "obligation", "interdiction", "autorisation"]
-OBLIGATION = ["doivent", "doit", "obligé", "tenu de", "requis", "exigé", "obligation", "interdit", "prohibé", "nécessaire", "respecter"]
-SANCTION = ["sanction", "amende", "pénalité", "suspension", "révocation", "punissable", "peine", "emprisonnement", "infraction"]
-IMPACT_HIGH = ["fonds propres", "capital", "ratio", "liquidité", "solvabilité", "provisions", "réserves", "crédit", "risque", "surveillance"]
-IMPACT_MEDIUM = ["reporting", "déclaration", "information", "communication", "gouvernance", "contrôle interne", "audit"]
-TECHNICAL = ["ratio", "provisions", "capital", "solvabilité", "liquidité"]
+ACCURACY_TERMS = ["cemac", "cobac", "commission bancaire", "fonds propres", "instruction", "ratio de solvabilité", "règlement", "surveillance", "établissement de crédit"]
+MISSPELT = ["ariicle", "commision", "regiement"]
+ARTICLE_WORDS = ["autorisation", "doit", "doivent", "est", "interdiction", "obligation", "peut", "peuvent", "sont"]
+OBLIGATION = ["doit", "doivent", "exigé", "interdit", "nécessaire", "obligation", "obligé", "prohibé", "requis", "respecter", "tenu de"]
+SANCTION = ["amende", "emprisonnement", "infraction", "peine", "punissable", "pénalité", "révocation", "sanction", "suspension"]
+IMPACT_HIGH = ["capital", "crédit", "fonds propres", "liquidité", "provisions", "ratio", "risque", "réserves", "solvabilité", "surveillance"]
+IMPACT_MEDIUM = ["audit", "communication", "contrôle interne", "déclaration", "gouvernance", "information", "reporting"]
+TECHNICAL = ["capital", "liquidité", "provisions", "ratio", "solvabilité"]
 CATEGORIES = [
     ("I", 1.0, ["organisation", "administration", "siège", "commission bancaire", "secrétariat"]),
     ("II", 1.0, ["dispositions générales", "définition", "champ d'application", "objet"]),
@@ -51,4 +51,4 @@ ERROR_CLASSES = [("NETWORK", ["connection", "timeout", "network"]), ("AUTH", ["a
 ERROR_RULES = {"error": ("CRITICAL", "FALLBACK"), "signup": ("HIGH", "SKIP"), "purchase": ("HIGH", "RETRY"), "click": ("LOW", "IGNORE")}
 CONFLICTS = [("modification", "conformity"), ("exception", "conformity"), ("modification", "application")]
 PREDEFINED = [("règlement cobac r-1992", "VI"), ("règlement cobac r-1993", "VI"), ("instruction cobac i-1994", "V"), ("décision cobac d-1995", "III"), ("décision cobac d-1996/0", "VII"), ("instruction cobac", "VII"), ("règlement cobac r-199", "II")]
-PLACEHOLDERS = ["à analyser", "à identifier", "à évaluer", "à compléter", "non disponible", "non spécifié"]
+PLACEHOLDERS = ["non disponible", "non spécifié", "à analyser", "à compléter", "à identifier", "à évaluer"]

@@ -38,7 +38,7 @@ def fields(corpus):
         "file_name",
         F.coalesce(none(x("txt", r"([RID]-[0-9]{4}/[0-9]{2})")), "file_name").alias("reference"),
         F.coalesce(none(x("txt", r"(?m)^(relati[^\n]+)")), "file_name").alias("title"),
-        F.coalesce(none(x("txt", r"(?m)^Fait à [^,]+, le ([^\n]+)")), none(x("file_name", r"([0-9]{4}[_-][0-9]+)"))).alias("published"),
+        F.coalesce(none(x("txt", r"(?m)^Fait à [^,]+, le ([^\n]+)")), none(x("file_name", r"(\d{4}[-_]\d+)"))).alias("published"),
         key_sentences("txt", L.OBLIGATION, 30, 250, 4).alias("obligations"),
         key_sentences("txt", L.SANCTION, 20, 200, 3).alias("sanctions"),
         T.impact("txt").alias("impact"),
