@@ -139,3 +139,12 @@ def a29(spark, sf):
     a, r = _refs(spark, sf)
     both = F.col("n_in") + F.col("n_out")
     return G.degrees(_vertices(a), r).groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.sum("n_out").alias("n_edges"), F.round(F.avg(both), 6).alias("mean_degree"), F.max(both).alias("max_degree"))
+
+
+@query("n10_network_bundle", f"{_COMP}, {_DEG}, c AS (SELECT doc_id, count(*) AS n_components, max(n) AS largest FROM (SELECT doc_id, root, count(*) AS n FROM comp GROUP BY ALL) GROUP BY doc_id), d AS (SELECT doc_id, count(*) AS n_vertices, sum(n_out)::BIGINT AS n_edges, max(n_in) AS most_referenced FROM deg GROUP BY doc_id) SELECT * FROM c JOIN d USING (doc_id)")
+def n10(spark, sf):
+    a, r = _refs(spark, sf)
+    v = _vertices(a)
+    c = G.components(v, r).groupBy("doc_id", "root").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("n_components"), F.max("n").alias("largest"))
+    d = G.degrees(v, r).groupBy("doc_id").agg(F.count("*").alias("n_vertices"), F.sum("n_out").alias("n_edges"), F.max("n_in").alias("most_referenced"))
+    return c.join(d, "doc_id")

@@ -156,3 +156,45 @@ def a32(spark, sf):
     a = E.articles(reg_corpus(spark, sf))
     top = a.groupBy("doc_id").count().select("doc_id", F.lit("SUMMARY").alias("kind"), F.lit("").alias("number"), F.col("count").cast("string").alias("detail"))
     return top.unionByName(a.select("doc_id", F.lit("ARTICLE").alias("kind"), "number", F.when(F.col("title") == "", "-").otherwise(F.col("title")).alias("detail")))
+
+
+@query("a9_a33_s7_metadata_sheet", f"""{ELEM}, n AS (SELECT doc_id, count(*) AS n_articles FROM arts GROUP BY doc_id) SELECT doc_id, file_name, sha256(txt) AS file_hash, length(txt)::BIGINT AS n_chars, coalesce(n_articles, 0) AS n_articles, CASE WHEN coalesce(n_articles, 0) > 0 THEN 'processed' ELSE 'empty' END AS state FROM reg LEFT JOIN n USING (doc_id)""")
+def a9(spark, sf):
+    r = reg_corpus(spark, sf)
+    n = E.articles(r).groupBy("doc_id").agg(F.count("*").alias("n"))
+    j = r.join(n, "doc_id", "left").withColumn("n_articles", F.coalesce("n", F.lit(0)))
+    return j.select("doc_id", "file_name", F.sha2("txt", 256).alias("file_hash"), F.length("txt").cast("bigint").alias("n_chars"), "n_articles", F.when(F.col("n_articles") > 0, "processed").otherwise("empty").alias("state"))
+
+
+@query("g16_k12_k13_article_extracts", f"{ELEM} SELECT doc_id, number, substring(body, 1, 300) AS extract, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS place FROM arts QUALIFY place <= 15")
+def g16(spark, sf):
+    w = Window.partitionBy("doc_id").orderBy("seq")
+    return E.articles(reg_corpus(spark, sf)).withColumn("place", F.row_number().over(w)).where("place <= 15").select("doc_id", "number", F.substring("body", 1, 300).alias("extract"), "place")
+
+
+_SENTENCES = r"list_filter(list_transform(regexp_split_to_array(body, '[.\n]+'), lambda x: trim(x)), lambda x: length(x) > 20 AND " + sql_any("x", L.OBLIGATION) + ")"
+
+
+@query("g30_g24_obligation_rows", f"{ELEM}, o AS (SELECT doc_id, number, seq, {_SENTENCES} AS s FROM arts), e AS (SELECT doc_id, number, seq, generate_subscripts(s, 1) AS i, unnest(s) AS obligation FROM o) SELECT doc_id, number, obligation FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq, i) <= 15")
+def g30(spark, sf):
+    parts = F.filter(F.transform(F.split("body", r"[.\n]+"), lambda x: F.trim(x)), lambda x: (F.length(x) > 20) & T.any_of(x, L.OBLIGATION))
+    e = E.articles(reg_corpus(spark, sf)).select("doc_id", "number", "seq", F.posexplode(parts).alias("i", "obligation"))
+    w = Window.partitionBy("doc_id").orderBy("seq", "i")
+    return e.withColumn("rn", F.row_number().over(w)).where("rn <= 15").select("doc_id", "number", "obligation")
+
+
+_ROW = "regexp_matches(line, '[0-9]') AND regexp_matches(line, 'FCFA|/')"
+
+
+@query("g26_text_tables", f"{ELEM}, l AS (SELECT doc_id, seq, string_split(body, chr(10)) AS p FROM arts), n AS (SELECT doc_id, seq, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM l), h AS (SELECT * FROM n WHERE {_ROW}) SELECT doc_id, seq::INT AS seq, count(*) AS n_rows, min(i)::INT AS first_line FROM h GROUP BY doc_id, seq")
+def g26(spark, sf):
+    n = E.articles(reg_corpus(spark, sf)).select("doc_id", "seq", F.posexplode(F.split("body", "\n")).alias("i", "line"))
+    return n.where(F.col("line").rlike("[0-9]") & F.col("line").rlike("FCFA|/")).groupBy("doc_id", "seq").agg(F.count("*").alias("n_rows"), (F.min("i") + 1).alias("first_line"))
+
+
+@query("x8_set_operations", f"{ELEM}, a AS (SELECT DISTINCT number FROM arts WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT number FROM arts WHERE doc_id % 2 = 1) SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'even only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)")
+def x8(spark, sf):
+    arts = E.articles(reg_corpus(spark, sf))
+    a, b = (arts.where(F.col("doc_id") % 2 == k).select("number").distinct() for k in (0, 1))
+    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return count("both", a.intersect(b)).unionByName(count("even only", a.exceptAll(b))).unionByName(count("either", a.union(b).distinct()))
