@@ -19,17 +19,6 @@ def degrees(vertices: DataFrame, refs: DataFrame) -> DataFrame:
     return vertices.join(i, ["doc_id", "v"], "left").join(o, ["doc_id", "v"], "left").na.fill(0, ["n_in", "n_out"])
 
 
-def distances(refs: DataFrame, limit: int = 6) -> DataFrame:
-    """(doc_id, src, dst, d): shortest distances up to ``limit``, by a fixed number of joins within documents."""
-    e = pairs(refs)
-    reached, last = e.withColumn("d", F.lit(1)), e
-    for d in range(2, limit + 1):
-        step = last.select("doc_id", "src", F.col("dst").alias("m")).join(e.select("doc_id", F.col("src").alias("m"), "dst"), ["doc_id", "m"]).where("src <> dst").select("doc_id", "src", "dst").distinct()
-        last = step
-        reached = reached.unionByName(step.withColumn("d", F.lit(d)))
-    return reached.groupBy("doc_id", "src", "dst").agg(F.min("d").alias("d"))
-
-
 def _by_document(edges: DataFrame, fn, schema: str) -> DataFrame:
     """fn(list of (src, dst)) -> rows without doc_id, for the edges of each document.
 
@@ -62,6 +51,26 @@ def _by_document(edges: DataFrame, fn, schema: str) -> DataFrame:
     return edges.select("doc_id", "src", "dst").repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema)
 
 
+def distances(refs: DataFrame, limit: int = 6) -> DataFrame:
+    """(doc_id, src, dst, d): shortest distances up to ``limit`` between different articles of a document: one shuffle, whatever the limit."""
+
+    def run(edges):
+        after: dict[int, list[int]] = {}
+        for a, b in edges:
+            after.setdefault(a, []).append(b)
+        out = []
+        for s in after:
+            depth, layer, d = {s: 0}, [s], 0
+            while layer and d < limit:
+                d += 1
+                layer = [w for w in dict.fromkeys(w for v in layer for w in after.get(v, ())) if w not in depth]
+                depth.update(dict.fromkeys(layer, d))
+            out += [(s, v, k) for v, k in depth.items() if k]
+        return out
+
+    return _by_document(pairs(refs), run, "doc_id bigint, src int, dst int, d int")
+
+
 def components(vertices: DataFrame, refs: DataFrame) -> DataFrame:
     """(doc_id, v, root): the least vertex that is linked in either direction; cited articles that don't exist link those that cite them."""
 
