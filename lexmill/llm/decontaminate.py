@@ -2,11 +2,12 @@
 
 A document is contaminated by an item when some window of as many words as the item has is similar to it: weighted Jaccard similarity
 of the multisets of 2-word shingles, sum(w * min) / sum(w * max), at least ``threshold``. Shingle weights are log(1 + D / (1 + f)),
-where f is the number of the D documents that hold the shingle; f is counted over all documents, for shingles of items.
+where f is the number of the D documents that hold the shingle; f is counted over all documents, for shingles of items. Where a window is compared with an item, a shingle that
+the item doesn't have weighs at most ``BOUND`` times the mean weight of the item's shingles, so equal edits score alike however many documents there are and however many hold the item.
 
 1. Lossless screen: similarity s needs shared weight of at least s * (weight of the item). Prefix sums of the weights of item shingles over a document
    show in one pass which windows reach the least such sum among the items of their size; other windows cannot pass and are dropped.
-2. Every window that is left gets a 128-bit weighted SimHash. Item fingerprints lie in eight tables of 16-bit blocks, entered for every pattern of as many
+2. Every window that is left gets a 128-bit weighted SimHash, with weights bounded on a ladder of steps of ``STEP``: one for each step that an item's bound lies on. Item fingerprints lie in eight tables of 16-bit blocks, entered for every pattern of as many
    errors as the pigeonhole principle asks for (sum of allowed errors + 1 over blocks = radius + 1): lookups find every item within the radius.
 3. The Hamming distance and then the weighted similarity are computed exactly for what is found.
 
@@ -32,6 +33,7 @@ from lexmill.llm._words import Words, mix, pieces
 from lexmill.session import ship
 
 THRESHOLD, RADIUS, BLOCKS, MAX_ITEM_WORDS = 0.6, 44, 8, 2_000_000
+BOUND, STEP = 1.5, 1.25
 OUT = "doc_id bigint, item_id bigint, similarity double, start int, distance int"
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -66,6 +68,8 @@ class Index:
     tables: list[tuple[np.ndarray, np.ndarray]]  # of each block: offsets by value, items
     threshold: float
     radius: int
+    bound: np.ndarray  # of each item: the most that a shingle weighs that it doesn't have
+    top: np.ndarray  # of each item: the most that a shingle weighs in fingerprints, its bound or the step above it
 
     def least(self) -> dict[int, float]:
         """For each size of items, the least shared weight that can suffice."""
@@ -93,13 +97,16 @@ def build(ids: list[int], texts: list[str], frequency: dict[int, int], documents
     vocab = np.unique(x[ok])
     weigh = lambda f: np.log1p(documents / (1.0 + f))
     vocab_weight = weigh(np.array([frequency.get(int(h), 0) for h in vocab.view(np.int64)], float))
-    bags, marks, weight = [], [], []
+    other = float(weigh(0.0))
+    bags, marks, weight, bound, top = [], [], [], [], []
     for i in use:
         at = np.searchsorted(vocab, x[ok & (row == i)])
         k, n = np.unique(at, return_counts=True)
         bags.append((k, n))
         weight.append(float((vocab_weight[k] * n).sum()))
-        marks.append(fingerprint(vocab[at], vocab_weight[at]))
+        bound.append(min(BOUND * weight[-1] / len(at), other))
+        top.append(other / STEP ** np.floor(np.log(other / bound[-1]) / np.log(STEP) + 1e-9) if bound[-1] else other)
+        marks.append(fingerprint(vocab[at], np.minimum(vocab_weight[at], top[-1])))
     marks = np.array(marks)
     tables = []
     words = np.ascontiguousarray(marks).view(">u2").astype(np.int64)
@@ -109,7 +116,7 @@ def build(ids: list[int], texts: list[str], frequency: dict[int, int], documents
         item = np.repeat(np.arange(len(use)), len(masks))
         order = np.argsort(value, kind="stable")
         tables.append((np.searchsorted(value[order], np.arange(65537)), item[order].astype(np.int32)))
-    return Index(np.array([ids[i] for i in use]), w.counts[use], np.array(weight), vocab, vocab_weight, float(weigh(0.0)), bags, marks, tables, threshold, radius)
+    return Index(np.array([ids[i] for i in use]), w.counts[use], np.array(weight), vocab, vocab_weight, other, bags, marks, tables, threshold, radius, np.array(bound), np.array(top))
 
 
 def _windows(index: Index, h: np.ndarray, at: np.ndarray, shared: np.ndarray, count: int):
@@ -131,7 +138,6 @@ def search(index: Index, h: np.ndarray, at: np.ndarray) -> dict[int, tuple[float
     own = np.where(at >= 0, index.vocab_weight[at], 0.0)
     shared = np.concatenate([[0.0], np.cumsum(own)])
     weight = np.where(at >= 0, own, index.other)
-    total = np.concatenate([[0.0], np.cumsum(weight)])
     windows = list(_windows(index, h, at, shared, len(h) + 1))
     if not windows:
         return found
@@ -143,38 +149,41 @@ def search(index: Index, h: np.ndarray, at: np.ndarray) -> dict[int, tuple[float
     used = np.flatnonzero(np.cumsum(need)[:-1] > 0)
     place = np.full(len(h) + 1, -1)
     place[used] = np.arange(len(used))
-    acc = np.concatenate([np.zeros((1, 128), np.float32), np.cumsum(weight[used, None] * (2.0 * _bits(h[used]) - 1), axis=0)])
-    for size, span, starts in windows:
-        first = place[starts]
-        marks = np.packbits(acc[first + span] - acc[first] > 1e-6, axis=1)
-        blocks = np.ascontiguousarray(marks).view(">u2").astype(np.int64)
-        items = np.flatnonzero(index.sizes == size)
-        candidate = np.zeros((len(starts), len(index.ids)), bool)
-        for b, (offsets, members) in enumerate(index.tables):
-            lo, hi = offsets[blocks[:, b]], offsets[blocks[:, b] + 1]
-            n = hi - lo
-            if n.sum():
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                candidate[np.repeat(np.arange(len(starts)), n), members[np.repeat(lo, n) + inner]] = True
-        for i in items:
-            near = np.flatnonzero(candidate[:, i])
-            if not len(near):
-                continue
-            distance = np.unpackbits(marks[near] ^ index.marks[i], axis=1).sum(1)
-            k, n = index.bags[i]
-            for j, d in zip(near, distance, strict=True):
-                if d > index.radius:
+    signs = 2.0 * _bits(h[used]) - 1
+    for top in np.unique(index.top):
+        here = [(span, starts, items) for size, span, starts in windows if len(items := np.flatnonzero((index.sizes == size) & (index.top == top)))]
+        if not here:
+            continue
+        acc = np.concatenate([np.zeros((1, 128), np.float32), np.cumsum(np.minimum(weight[used, None], top) * signs, axis=0)])
+        for span, starts, items in here:
+            first = place[starts]
+            marks = np.packbits(acc[first + span] - acc[first] > 1e-6, axis=1)
+            blocks = np.ascontiguousarray(marks).view(">u2").astype(np.int64)
+            candidate = np.zeros((len(starts), len(index.ids)), bool)
+            for b, (offsets, members) in enumerate(index.tables):
+                lo, hi = offsets[blocks[:, b]], offsets[blocks[:, b] + 1]
+                n = hi - lo
+                if n.sum():
+                    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    candidate[np.repeat(np.arange(len(starts)), n), members[np.repeat(lo, n) + inner]] = True
+            for i in items:
+                near = np.flatnonzero(candidate[:, i])
+                if not len(near):
                     continue
-                s = int(starts[j])
-                inside = at[s : s + span]
-                inside = inside[np.isin(inside, k)]
-                have = np.bincount(np.searchsorted(k, inside), minlength=len(k))
-                w = index.vocab_weight[k]
-                both = float((w * np.minimum(have, n)).sum())
-                either = float(total[s + span] - total[s]) + float(index.weight[i]) - both
-                sim = both / either if either > 0 else 0.0
-                if sim >= index.threshold and (i not in found or sim > found[i][0] + 1e-12):
-                    found[int(i)] = (sim, s, int(d))
+                distance = np.unpackbits(marks[near] ^ index.marks[i], axis=1).sum(1)
+                k, n = index.bags[i]
+                for j, d in zip(near, distance, strict=True):
+                    if d > index.radius:
+                        continue
+                    s = int(starts[j])
+                    window, heavy = at[s : s + span], weight[s : s + span]
+                    own = np.isin(window, k)
+                    have = np.bincount(np.searchsorted(k, window[own]), minlength=len(k))
+                    both = float((index.vocab_weight[k] * np.minimum(have, n)).sum())
+                    either = float(np.where(own, heavy, np.minimum(heavy, index.bound[i])).sum()) + float(index.weight[i]) - both
+                    sim = both / either if either > 0 else 0.0
+                    if sim >= index.threshold and (i not in found or sim > found[i][0] + 1e-12):
+                        found[int(i)] = (sim, s, int(d))
     return found
 
 

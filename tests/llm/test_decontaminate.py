@@ -104,3 +104,26 @@ def test_windows_of_one_document():
     at = np.searchsorted(index.vocab, x[:-1])
     at = np.where(np.isin(x[:-1], index.vocab), at, -1)
     assert search(index, x[:-1], at)[0][:2] == (1.0, 1)
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.1, 0.5])
+def test_equal_edits_score_alike_at_every_size(rate):
+    """Items of 15 words with one inner word changed, held by a share of the documents, at the default threshold."""
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"u{i}" for i in rng.integers(0, 1 << 40, n)]
+    items = [words(15) for _ in range(40)]
+    edited = [words(9) + x[:7] + ["changed"] + x[8:] + words(9) for x in items]
+    scores = []
+    for documents in (1_000, 100_000, 6_000_000):
+        for radius in (127, RADIUS):
+            x, ok = pairs_of(Words(pa.array([" ".join(i) for i in items])))
+            index = build(list(range(40)), [" ".join(i) for i in items], {int(h): int(rate * documents) for h in x[ok].view(np.int64)}, documents, 0.6, radius)
+            got = []
+            for i, text in enumerate(edited):
+                y, inside = pairs_of(Words(pa.array([" ".join(text)])))
+                y = y[inside]
+                at = np.minimum(np.searchsorted(index.vocab, y), len(index.vocab) - 1)
+                got.append(search(index, y, np.where(index.vocab[at] == y, at, -1)).get(i))
+            assert sum(g is not None for g in got) >= (40 if radius == 127 else 36)
+            scores += [g[0] for g in got if g]
+    assert min(scores) > 0.7 and max(scores) - min(scores) < 0.001
