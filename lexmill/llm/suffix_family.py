@@ -6,14 +6,14 @@ run. The *suffix array* of a batch of documents holds one entry for each run, (l
 first PREFIX words, about 2 / (LENGTH - PREFIX + 2) of all suffixes. No repeated window can be missed by leaving out the others.
 
 ``Family`` keeps the arrays as sorted levels in the shared folder. A new batch gets its array, which is scanned in merge order against itself and each level: leads that
-occur again are what may repeat. Then it becomes a level of rank 0, and as long as two levels have the same rank they are merged to one of the next rank: n batches leave at most
+occur again, or in a run of more than LENGTH windows, are what may repeat. Then it becomes a level of rank 0, and as long as two levels have the same rank they are merged to one of the next rank: n batches leave at most
 log2(n) + 1 levels, and an entry is rewritten log2(n) times at most.
 
-At last the runs of leads that occur again are read with the 64-bit hashes of all their windows, and those hashes that occur in at least two runs are
-repeats: exact but for hash collisions. They are merged to maximal spans of words.
+At last the runs of leads that occur again are read with the 64-bit hashes of all their windows, and those hashes that occur in at least two runs, or
+in one run at starts LENGTH or more apart (text of a short period), are repeats: exact but for hash collisions. They are merged to maximal spans of words.
 
 Defined cases: null and empty texts and those of fewer than LENGTH words have no window; rows with a null doc_id are left out; rows that repeat a doc_id with equal text are one document,
-with other text they are parts of one document; a passage that overlaps itself within one run (a word repeated on and on) is no repeat by itself, elsewhere in the same document it is.
+with other text they are parts of one document; a passage that only overlaps itself within one run, and a run of one word repeated on and on, is no repeat by itself, elsewhere in the same document it is.
 Other columns are ignored; empty tables give no row.
 """
 
@@ -119,9 +119,9 @@ class Family:
         entries = suffix_array(docs, self.length, self.prefix)
         new = self._write(entries.repartition("lead").sortWithinPartitions("lead", "doc_id", "start"), "level")
         array = self.spark.read.parquet(new)
-        # the same lead next to itself in merge order: within the batch, or first in the batch and then in a level
-        again = array.groupBy("lead").agg(F.count("*").alias("k"))
-        leads = again.where("k > 1").select("lead")
+        # the same lead next to itself in merge order, or in one run that can hold a window twice: within the batch, or first in the batch and then in a level
+        again = array.groupBy("lead").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+        leads = again.where((F.col("k") > 1) | (F.col("n") > self.length)).select("lead")
         for _, path in self.levels:
             leads = leads.unionByName(again.select("lead").hint("merge").join(self.spark.read.parquet(path).select("lead"), "lead", "left_semi"))
         self.found.append(self._write(leads.distinct(), "found"))
@@ -147,7 +147,7 @@ class Family:
 
 
 def _spans(table: pa.Table, length: int):
-    """Spans of windows that occur in two runs at least, of all runs of some leads."""
+    """Spans of windows that occur in two runs at least or apart in one, of all runs of some leads."""
     lists = table["hashes"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     size = np.diff(lists.offsets.to_numpy())
@@ -155,13 +155,20 @@ def _spans(table: pa.Table, length: int):
     run = np.repeat(np.arange(len(size)), size)
     doc = table["doc_id"].to_numpy()
     start = table["start"].to_numpy()[run] + np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-    by = np.lexsort((run, h))
+    by = np.lexsort((start, run, h))
     h, run, start = h[by], run[by], start[by]
     new = np.concatenate([[True], h[1:] != h[:-1]])
     head = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     fresh = np.concatenate([[True], new[1:] | (run[1:] != run[:-1])])
-    repeated = np.add.reduceat(fresh.astype(np.int64), head)[group] > 1
+    repeated = np.add.reduceat(fresh.astype(np.int64), head) > 1
+    # of each hash in each run: the first start and the last, and whether windows next to each other are equal, which is one word on and on
+    part = np.flatnonzero(fresh)
+    last = np.append(part[1:], len(start)) - 1
+    beside = np.concatenate([[False], ~fresh[1:] & (start[1:] == start[:-1] + 1)])
+    apart = (start[last] - start[part] >= length) & ~np.logical_or.reduceat(beside, part)
+    repeated[group[part[apart]]] = True
+    repeated = repeated[group]
     none = np.iinfo(np.int64).max
     own = doc[run]
     least = np.minimum.reduceat(own, head)[group]

@@ -62,3 +62,13 @@ def test_odd_rows(spark, odd, nothing):
     assert repeats(same).collect() == []
     with pytest.raises(ValueError, match="prefix"):
         repeats(odd, 5, 9)
+
+
+@pytest.mark.parametrize("send", [64, 0])
+def test_repeats_within_one_document_equal_brute_force(spark, send):
+    """Notices of few and many words over and over, each in one document alone; a part that only overlaps itself is none."""
+    rows = [(p, " ".join([f"h{p}x{i}" for i in range(30)] + [f"n{p}x{i}" for i in range(p)] * (2000 // p) + [f"t{p}x{i}" for i in range(70)])) for p in (2, 5, 20, 25, 26, 27, 40, 60)]
+    short = (100, " ".join([f"s{i}" for i in range(20)] * 4))
+    got = repeats(spark.createDataFrame([*rows, short], "doc_id bigint, text string"), send_mb=send).collect()
+    assert covered(got) == brute(rows, 50)[1]
+    assert {(r["doc_id"], r["start"], r["other"]) for r in got} == {(p, 30, p) for p, _ in rows}
