@@ -30,7 +30,7 @@ _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
 _NAMES = [x.split()[0] for x in OUT.split(", ")]
 Edit = tuple[int, int, str]
 
-_SUSPECT = re.compile(r"[0-9@]")
+_SUSPECT = re.compile(r"[\d@=]|AKIA")
 _PRIVATE = re.compile(
     r"[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+"  # mail address
     r"|\bAKIA[0-9A-Z]{16}\b|\b(?:token|secret|password|api_key)\s*=\s*\"[^\"]*\""  # key
