@@ -1,271 +1,345 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-1. All byte n-grams of order ``N`` of all texts are counted: each partition sorts and counts its own, Spark sums them. A text is preceded by N - 1 zero bytes
-   and followed by one zero byte, so each byte, and the end, is predicted from exactly N - 1 symbols; counts of lower orders are sums over the first symbols.
-2. Probabilities are interpolated absolute discounting with one discount for each order, D = n1 / (n1 + 2 n2), down to a uniform
-   distribution over 256 symbols. Every seen context is a state. A seen symbol has an arc with its log-probability to the state of the longest seen
-   suffix; every state has a failure arc, weighted by the log of its backoff mass, to the state of its context less the first symbol.
-3. Scoring traverses the automaton once from left to right: many texts advance in step, each with its own state; a missing arc follows failure
-   arcs and adds their weights. Long texts are cut into segments that start by N - 1 unscored symbols before them, which lead to the
-   very state of an uncut traversal, as a state depends on the last N - 1 symbols only.
-
-The automaton is broadcast. Its size follows the number of distinct byte n-grams, which levels off with growing text; it is checked against
-``max_ngrams``, and beyond that an error asks for a lower order or a ``min_count`` (n-grams of the highest order that are seen less are left to backoff).
-
-Defined cases: null and empty texts consist of the end symbol alone; a null doc_id is scored like others; rows that repeat count and are scored as often as they
-come; without any row, the result is empty. Other columns are ignored. A zero byte within a text counts as the text's own symbol 0.
+"""Language-model scoring with a weighted backoff automaton over words.
+
+1. All word n-grams of orders 1 to ``ORDER`` of all texts are counted. A text is preceded by ORDER - 1 begin marks and followed by an end mark, so each word, and the end, is
+   predicted from exactly ORDER - 1 symbols.
+2. Probabilities are smoothed by interpolation with a Dirichlet prior: p(w | c) = (n(c w) + K p(w | c less its first word)) / (n(c) + K), with a weight K for each order, down to a uniform
+   distribution over ``VOCABULARY`` words. Every seen context is a state. A seen n-gram is an arc with its log-probability to the state of the longest seen suffix; every
+   state has a failure arc, weighted by log(K / (n(c) + K)), to the state of its context less the first word. Only counts are needed, so the model is a table of n-grams.
+   A document that is itself part of the corpus is scored by what all other rows have: its own counts are taken off, as every n-gram of it would else be seen.
+3. Scoring traverses the automaton once from left to right: many texts advance in step, each with its own state; a missing arc follows failure arcs and adds their weights.
+   Long texts are cut into segments that start by ORDER - 1 unscored words before them, which lead to the very state of an uncut traversal.
+
+The model grows with the corpus and is nowhere held as a whole, neither by the driver nor by an executor. Texts are packed in blocks of about ``BLOCK`` bytes (or one document). A block asks for the n-grams that
+occur in it: their hashes, in sorted chunks by ranges of the hash, go to the tasks that count the range over all blocks, and the totals come back in the order of what was asked. Each block then builds
+the part of the automaton that its own texts can reach, which gives the very scores of the whole one. What is sent is proportional to the text; a frequent n-gram is one entry for each
+block, so no key is hot. The number of ranges is that of shuffle partitions; at a hundred times the data raise it, and ``block`` with it.
+
+Defined cases: null and empty texts, and those without a word, consist of the end alone; a null doc_id is scored like others; rows that repeat count and are scored as often as they come;
+without any row the result is empty; with another ``corpus`` that is empty, all probabilities are uniform. Other columns are ignored. N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm._words import buffers, pieces
+from lexmill.llm._spark import stash
+from lexmill.llm._words import Words, mix, pieces
 from lexmill.session import ship
 
-N, MAX_NGRAMS, SEGMENT, LANES = 5, 20_000_000, 1024, 1 << 22
-OUT = "doc_id bigint, n_symbols bigint, log_prob double, bits_per_symbol double"
-
-
-def symbols(text: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts one after the other, each between order - 1 zeros and one zero; n+1 offsets."""
-    data, off = buffers(text)
-    extra = order
-    out = np.zeros(len(data) + extra * (len(off) - 1), np.uint8)
-    size = np.diff(off)
-    first = off + extra * np.arange(len(off))
-    shift = np.repeat(extra * np.arange(len(size)) + order - 1, size)
-    out[np.arange(len(data)) + shift] = data
-    return out, first
-
-
-def codes(text: pa.Array, order: int) -> np.ndarray:
-    """The n-gram of each predicted symbol as an integer, the first symbol highest."""
-    seq, first = symbols(text, order)
-    x = seq.astype(np.uint64)
-    code = np.zeros(len(seq), np.uint64)
-    for j in range(order):
-        code[: len(seq) - j] = (code[: len(seq) - j] << np.uint64(8)) | x[j:]
-        code[len(seq) - j :] <<= np.uint64(8)
-    starts = np.ones(len(seq), bool)
-    ends = first[1:]
-    for j in range(1, order):
-        starts[ends - j] = False
-    return code[starts]
-
-
-def count_ngrams(docs: DataFrame, order: int = N) -> DataFrame:
-    """(code, n): every n-gram of the highest order and its count over all texts."""
-    ship(docs.sparkSession)
+ORDER, VOCABULARY, BLOCK, SEGMENT = 3, 1 << 20, 8 << 20, 256
+#: The weight of the lower order in the counts of orders 1, 2 and 3; the last one holds for higher orders.
+PRIOR = (1.0, 16.0, 2.0)
+OUT = "doc_id bigint, n_tokens bigint, log_prob double, log_prob_per_token double, bits_per_token double"
+_BEGIN, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+ROWS = "block bigint, part int, ids array<bigint>, sizes array<int>, vocab binary, data binary"
+_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("vocab", pa.binary()), ("data", pa.binary())])
 
-    def run(batches):
-        held_k, held_n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        fresh: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
-
-        def merge():
-            k = np.concatenate([held_k, *[f[0] for f in fresh]])
-            n = np.concatenate([held_n, *[f[1] for f in fresh]])
-            order_ = np.argsort(k, kind="stable")
-            k, n = k[order_], n[order_]
-            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
-            return k[at], np.add.reduceat(n, at) if len(at) else n
 
-        for batch in batches:
-            for a, b in pieces(batch.column(0), 2 << 20):
-                c = np.sort(codes(batch.column(0).slice(a, b - a), order))
-                at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                fresh.append((c[at], np.diff(np.append(at, len(c)))))
-                waiting += len(at)
-                if waiting > 4_000_000:
-                    held_k, held_n = merge()
-                    fresh, waiting = [], 0
-        held_k, held_n = merge()
-        for s in range(0, len(held_k), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(held_k[s : s + (1 << 18)].view(np.int64)), pa.array(held_n[s : s + (1 << 18)])], ["code", "n"])
+def _row(block: int, part: int, data: bytes, ids=None, sizes=None, vocab=None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, part, ids, sizes, vocab, data), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted integers as byte planes of their differences, compressed."""
+    x = x.astype(np.uint64)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Counts in as few bytes as the greatest needs, compressed; the first byte says how many."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or int(x.max()) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+
+
+def _from_small(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+class Block:
+    """The words of some texts: ``word`` has their numbers in ``vocab``, each text between order - 1 begin marks and an end mark."""
+
+    def __init__(self, vocab: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int):
+        self.order, self.sizes = order, sizes
+        n = len(sizes)
+        self.begin, self.end = len(vocab), len(vocab) + 1
+        self.first = np.concatenate([[0], np.cumsum(sizes + order)])
+        self.word = np.full(int(self.first[-1]), self.begin, np.int64)
+        inner = np.arange(len(codes)) + np.repeat(order * np.arange(n) + order - 1, sizes)
+        self.word[inner] = codes
+        self.word[self.first[1:] - 1] = self.end
+        self.hash = np.concatenate([vocab, [_BEGIN, _END]]).astype(np.uint64)
+
+    def predicted(self) -> np.ndarray:
+        """Places of the words and ends."""
+        ok = np.ones(len(self.word), bool)
+        for j in range(self.order - 1):
+            ok[self.first[:-1] + j] = False
+        return np.flatnonzero(ok)
+
+    def grams(self) -> list[np.ndarray]:
+        """For each order, the hash of the n-gram that ends at each place; the first places of a text hold begin marks, so no n-gram of a predicted place leaves its text."""
+        h = self.hash[self.word]
+        out = [mix(h + np.uint64(1))]
+        for m in range(1, self.order):
+            x = np.zeros_like(h)
+            x[1:] = mix(out[-1][:-1] * _ODD + h[1:] + np.uint64(m + 1))
+            out.append(x)
+        return out
+
+    def types(self):
+        """Sorted hashes of the n-grams at predicted places, the number of each at each place (orders x places), and how often it occurs."""
+        at = self.predicted()
+        keys, inverse, counts = np.unique(np.concatenate([g[at] for g in self.grams()]), return_inverse=True, return_counts=True)
+        return keys, inverse.reshape(self.order, -1), counts
 
 
 @dataclass
 class Automaton:
     order: int
-    root: int
-    start: int  # the state after order - 1 zeros
+    symbols: int
+    apart: bool
+    key: np.ndarray  # state * symbols + word of each arc, sorted
+    target: np.ndarray
+    weight: np.ndarray  # log
     fail: np.ndarray
     fail_weight: np.ndarray  # log
-    mask: np.ndarray  # states x 4 words of 64 bits: the symbols that have arcs
-    base: np.ndarray  # states x 4: arcs before those of the word
-    target: np.ndarray  # of each arc
-    weight: np.ndarray  # of each arc, log
-
-    def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability (natural) and number of symbols of each text."""
-        seq, first = symbols(text, self.order)
-        size = np.diff(first) - (self.order - 1)
-        total = np.zeros(len(size))
-        # segments: row, first scored position, number of scored symbols
-        n_seg = -(-size // SEGMENT)
-        row = np.repeat(np.arange(len(size)), n_seg)
-        inner = np.arange(n_seg.sum()) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
-        begin = first[row] + self.order - 1 + inner * SEGMENT
-        length = np.minimum(SEGMENT, size[row] - inner * SEGMENT)
+    unseen: np.ndarray  # of each part, the log-probability of a word that its root has no arc for
+
+    def advance(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state and the log-probability of each word."""
+        after, gain = np.zeros(len(state), np.int64), np.zeros(len(state))
+        left, s, carried = np.arange(len(state)), state, np.zeros(len(state))
+        while len(left):
+            want = s * self.symbols + word[left]
+            arc = np.minimum(np.searchsorted(self.key, want), max(len(self.key) - 1, 0))
+            hit = self.key[arc] == want if len(self.key) else np.zeros(len(left), bool)
+            after[left[hit]], gain[left[hit]] = self.target[arc[hit]], carried[hit] + self.weight[arc[hit]]
+            at_root = (s % self.order == 0) & (s < len(self.unseen) * self.order)
+            lost = ~hit & at_root
+            after[left[lost]], gain[left[lost]] = s[lost], carried[lost] + self.unseen[s[lost] // self.order]
+            on = ~hit & ~at_root
+            carried = carried[on] + self.fail_weight[s[on]]
+            left, s = left[on], self.fail[s[on]]
+        return after, gain
+
+    def score(self, block: Block) -> np.ndarray:
+        """The log-probability of each text of the block."""
+        n = block.sizes + 1
+        segments = -(-n // SEGMENT)
+        row = np.repeat(np.arange(len(n)), segments)
+        inner = np.arange(segments.sum()) - np.repeat(np.cumsum(segments) - segments, segments)
+        begin, length = block.first[row] + self.order - 1 + inner * SEGMENT, np.minimum(SEGMENT, n[row] - inner * SEGMENT)
         by = np.argsort(-length, kind="stable")
         row, begin, length, inner = row[by], begin[by], length[by], inner[by]
-        state = np.full(len(row), self.root, np.int32)
-        score = np.zeros(len(row))
-        for t in range(-(self.order - 1), int(length.max()) if len(length) else 0):
-            live = int(np.searchsorted(-length, -t, "left")) if t >= 0 else len(row)
+        root = (row if self.apart else np.zeros_like(row)) * self.order
+        state, total = root.copy(), np.zeros(len(row))
+        for t in range(-(self.order - 1), int(length[0]) if len(length) else 0):
             if t == 0:
-                # the zeros before a text are never predicted, so arcs needn't lead through them
-                state[inner == 0] = self.start
-            state[:live], step = self.advance(state[:live], seq[begin[:live] + t])
-            if t >= 0:
-                score[:live] += step
-        np.add.at(total, row, score)
-        return total, size
-
-    def advance(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next state and the log-probability of each symbol."""
-        word, bit = (symbol >> 6).astype(np.int64), (symbol & 63).astype(np.uint64)
-        one = np.uint64(1)
-        at = state.astype(np.int64) * 4 + word
-        m = self.mask[at]
-        hit = (m >> bit) & one == one
-        arc = self.base[at] + np.bitwise_count(m & ((one << bit) - one))
-        miss = np.flatnonzero(~hit)
-        arc[miss] = 0
-        after, weight = self.target[arc], self.weight[arc]
-        if len(miss):
-            s = state[miss]
-            carried = np.zeros(len(miss), np.float32)
-            left = miss
-            while len(left):
-                carried = carried + self.fail_weight[s]
-                s = self.fail[s]
-                at = s.astype(np.int64) * 4 + word[left]
-                m, b = self.mask[at], bit[left]
-                got = (m >> b) & one == one
-                k = np.flatnonzero(got)
-                arc = self.base[at[k]] + np.bitwise_count(m[k] & ((one << b[k]) - one))
-                after[left[k]], weight[left[k]] = self.target[arc], self.weight[arc] + carried[k]
-                k = np.flatnonzero(~got)
-                left, s, carried = left[k], s[k], carried[k]
-        return after, weight
-
-    def nbytes(self) -> int:
-        return sum(v.nbytes for v in vars(self).values() if isinstance(v, np.ndarray))
-
-
-def build(code: np.ndarray, n: np.ndarray, order: int = N, min_count: int = 1) -> Automaton:
-    """The automaton of n-gram counts of the highest order."""
-    by = np.argsort(code)
-    code, n = code[by].astype(np.uint64), n[by].astype(np.int64)
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for m in range(order, 0, -1):
-        if m < order:
-            code = code & np.uint64((1 << (8 * m)) - 1)
-            by = np.argsort(code, kind="stable")
-            code, n = code[by], n[by]
-            at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            code, n = code[at], np.add.reduceat(n, at)
-        keep = n >= min_count if m == order else np.ones(len(n), bool)
-        grams[m] = (code, n, keep)
-    # the states: contexts of 0 to order - 1 symbols that some n-gram goes on from
-    contexts = {m - 1: np.unique(grams[m][0][grams[m][2]] >> np.uint64(8)) for m in range(order, 0, -1)}
-    # a state's suffix must be a state: lower orders hold all suffixes
-    offset, total = {}, 0
-    for length in range(order):
-        offset[length] = total
-        total += len(contexts[length])
-
-    def state_of(length: int, context: np.ndarray) -> np.ndarray:
-        """The state of the longest seen suffix of contexts of the length."""
-        out = np.full(len(context), -1, np.int64)
-        for k in range(length, -1, -1):
-            c = context & np.uint64((1 << (8 * k)) - 1)
-            at = np.searchsorted(contexts[k], c)
-            at[at == len(contexts[k])] = 0
-            ok = (out < 0) & (contexts[k][at] == c)
-            out[ok] = offset[k] + at[ok]
-        return out
-
-    mask, base = np.zeros((total, 4), np.uint64), np.zeros((total, 4), np.int64)
-    fail, fail_weight = np.zeros(total, np.int32), np.zeros(total, np.float32)
-    arc_state, arc_symbol, arc_target, arc_weight = [], [], [], []
-    lower_code, lower_p = None, None
+                state[inner == 0] = root[inner == 0] + self.order - 1
+            # begin marks are not predicted: the first segments of texts wait
+            live = np.flatnonzero(inner > 0) if t < 0 else np.arange(np.searchsorted(-length, -t, "left"))
+            if len(live):
+                state[live], gain = self.advance(state[live], block.word[begin[live] + t])
+                if t >= 0:
+                    total[live] += gain
+        return np.bincount(row, weights=total, minlength=len(n))
+
+
+def automaton(block: Block, counts: np.ndarray, documents: int, tokens: int, apart: bool, prior: tuple[float, ...] = PRIOR, vocabulary: int = VOCABULARY, types=None) -> Automaton:
+    """The part of the automaton that the block can reach; counts are those of the corpus for ``types()``. With ``apart`` each text has its own part, from whose counts its own are taken off.
+
+    States of each part: the root, then order - 1 states of begin marks; after those of all parts, one for each n-gram of each part.
+    """
+    order, (keys, number, _) = block.order, types or block.types()
+    at = block.predicted()
+    place = np.full(len(block.word), -1)
+    place[at] = np.arange(len(at))
+    row = np.repeat(np.arange(len(block.sizes)), block.sizes + 1)
+    of, parts = (row, len(block.sizes)) if apart else (np.zeros_like(row), 1)
+    documents -= int(apart)
+    rest = tokens - (block.sizes + 1 if apart else np.zeros(1, np.int64))
+    weigh = lambda m: prior[min(m, len(prior)) - 1]
+    base = parts * order
+    fail, fail_weight = [np.maximum(np.arange(base) - 1, 0)], [np.tile([0.0] + [np.log(weigh(j + 1) / (documents + weigh(j + 1))) for j in range(1, order)], parts)]
+    arcs, targets, weights = [], [], []
+    node = p = have = np.empty(0, np.int64)  # of the last order: the state of each place; probability and count of each state
+    low = 0  # its first state
     for m in range(1, order + 1):
-        code, n, keep = grams[m]
-        n1, n2 = int((n == 1).sum()), int((n == 2).sum())
-        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        context = code >> np.uint64(8)
-        group = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        totals = np.add.reduceat(n, group)
-        freed = np.add.reduceat(np.where(keep, d, n.astype(float)), group) / totals
-        lower = np.full(len(code), 1 / 256) if m == 1 else lower_p[np.searchsorted(lower_code, code & np.uint64((1 << (8 * (m - 1))) - 1))]
-        of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(code))))
-        p = np.where(keep, (n - d) / totals[of], 0) + freed[of] * lower
-        lower_code, lower_p = code, p
-        seen = np.searchsorted(contexts[m - 1], context[group])
-        seen[seen == len(contexts[m - 1])] = 0
-        ok = contexts[m - 1][seen] == context[group]
-        state = offset[m - 1] + seen
-        fail_weight[state[ok]] = np.log(freed[ok])
-        if m > 1:
-            fail[state[ok]] = state_of(m - 2, context[group][ok] & np.uint64((1 << (8 * (m - 2))) - 1))
-        arc_state.append(state[of][keep])
-        arc_symbol.append((code & np.uint64(255)).astype(np.int64)[keep])
-        after = code & np.uint64((1 << (8 * (order - 1))) - 1) if m == order else code
-        arc_target.append(state_of(min(m, order - 1), after)[keep])
-        arc_weight.append(np.log(p[keep]))
-    # the root has an arc for every symbol: those never seen keep the root
-    freed_root = float(np.exp(fail_weight[0]))
-    unseen = np.setdiff1d(np.arange(256), arc_symbol[0])
-    arc_state.append(np.zeros(len(unseen), np.int64))
-    arc_symbol.append(unseen)
-    arc_target.append(np.zeros(len(unseen), np.int64))
-    arc_weight.append(np.full(len(unseen), np.log(freed_root / 256) if freed_root > 0 else np.log(1e-9)))
-    state, symbol, target, weight = (np.concatenate(x) for x in (arc_state, arc_symbol, arc_target, arc_weight))
-    by = np.lexsort((symbol, state))
-    state, symbol, target, weight = state[by], symbol[by], target[by].astype(np.int32), weight[by].astype(np.float32)
-    np.bitwise_or.at(mask, (state, symbol >> 6), np.uint64(1) << (symbol & 63).astype(np.uint64))
-    counts = np.bitwise_count(mask).astype(np.int64).ravel()
-    base = np.concatenate([[0], np.cumsum(counts)[:-1]]).reshape(total, 4)
-    made = Automaton(order, 0, 0, fail, fail_weight, mask.ravel(), base.ravel(), target, weight)
-    made.start = int(state_of(order - 1, np.zeros(1, np.uint64))[0])
-    return made
-
-
-def lm_score(docs: DataFrame, order: int = N, min_count: int = 1, max_ngrams: int = MAX_NGRAMS) -> DataFrame:
-    """(doc_id, n_symbols, log_prob, bits_per_symbol) of each document under the model of all documents; the end symbol counts."""
-    from lexmill.llm._spark import cut
+        k = weigh(m)
+        _, some, inverse, own = np.unique(of * len(keys) + number[m - 1], return_index=True, return_inverse=True, return_counts=True)
+        part, word = of[some], block.word[at[some]]
+        held = (counts[number[m - 1][some]] - (own if apart else 0)).astype(float)
+        if m == 1:
+            below, total, source, suffix = np.full(len(some), 1 / vocabulary), rest[part].astype(float), part * order, part * order
+        else:
+            below, suffix = p[node[some] - low], node[some]
+            # the context: an n-gram that ends one place before, or begin marks alone
+            before = place[at[some] - 1]
+            context = node[before]
+            total, source = np.where(before >= 0, have[context - low], documents).astype(float), np.where(before >= 0, context, part * order + m - 1)
+        q = (held + k * below) / (total + k)
+        first = base + sum(len(f) for f in fail[1:])
+        to = first + np.arange(len(some)) if m < order else suffix
+        seen = held > 0
+        arcs.append((source * (block.end + 1) + word)[seen])
+        targets.append(to[seen])
+        weights.append(np.log(q[seen]))
+        if m < order:  # the n-gram is a context
+            fail.append(suffix)
+            fail_weight.append(np.log(weigh(m + 1) / (held + weigh(m + 1))))
+        node, p, have, low = first + inverse, q, held, first
+    key, target, weight = (np.concatenate(x) for x in (arcs, targets, weights))
+    by = np.argsort(key)
+    unseen = np.log(weigh(1) / vocabulary / (rest + weigh(1)))
+    return Automaton(order, block.end + 1, apart, key[by], target[by], weight[by], np.concatenate(fail), np.concatenate(fail_weight), unseen)
+
+
+def pack(docs: DataFrame, order: int, block: int) -> DataFrame:
+    """One row for each block of about ``block`` bytes of text: document ids, numbers of words, hashes and codes of words."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        ids: list = []
+        held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            nonlocal number, size
+            words, inverse = np.unique(np.concatenate(held), return_inverse=True)
+            codes = inverse.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+            row = _row(number, -1, bytes([codes.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, codes.itemsize).T).tobytes()), list(ids), np.concatenate(sizes).tolist(), _planes(words))
+            number += 1
+            ids.clear(), held.clear(), sizes.clear()
+            size = 0
+            return row
+
+        for batch in batches:
+            text = batch.column(1)
+            for a, b in pieces(text, block):
+                # a kernel call takes one part of the block; a text is never cut
+                for c, d in pieces(text.slice(a, b - a)):
+                    w = Words(text.slice(a + c, d - c))
+                    ids += batch.column(0).slice(a + c, d - c).to_pylist()
+                    held.append(w.hash)
+                    sizes.append(w.counts)
+                    size += len(w.data)
+                    if size >= block:
+                        yield flush()
+        if ids:
+            yield flush()
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROWS)
+
+
+def _unpack(row: dict, order: int) -> Block:
+    data, vocab = row["data"], _from_planes(row["vocab"])
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    codes = np.ascontiguousarray(raw.reshape(data[0], -1).T).view(f"<u{data[0]}").ravel()
+    return Block(vocab, codes.astype(np.int64), np.array(row["sizes"], np.int64), order)
+
+
+def _each(batches) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _edges(parts: int) -> np.ndarray:
+    return np.array([(i << 64) // parts for i in range(parts)], np.uint64)
 
+
+def _asks(blocks: DataFrame, order: int, parts: int, counted: bool, asked: bool) -> DataFrame:
+    """(block, part, vocab, data): the n-gram hashes of a block that lie in a range, and how often they occur; 0 times unless counted, block is -1 unless asked."""
+
+    def run(batches):
+        for row in _each(batches):
+            keys, _, n = _unpack(row, order).types()
+            cut = np.append(np.searchsorted(keys, _edges(parts)), len(keys))
+            for i in np.flatnonzero(np.diff(cut)):
+                a, b = cut[i], cut[i + 1]
+                yield _row(row["block"] if asked else -1, int(i), _small(n[a:b] if counted else np.zeros(b - a, np.int64)), vocab=_planes(keys[a:b]))
+
+    return blocks.mapInArrow(run, ROWS)
+
+
+def _totals(asks: DataFrame) -> DataFrame:
+    """The totals over all blocks of what each block asked for, in its order."""
+
+    def run(batches):
+        part, held = None, []
+
+        def answer():
+            keys, counts = [_from_planes(r["vocab"]) for r in held], [_from_small(r["data"]) for r in held]
+            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)[inverse]
+            at = 0
+            for r, k in zip(held, keys, strict=True):
+                if r["block"] >= 0:
+                    yield _row(r["block"], part, _small(total[at : at + len(k)]))
+                at += len(k)
+
+        for row in _each(batches):
+            if row["part"] != part:
+                if held:
+                    yield from answer()
+                part, held = row["part"], []
+            held.append(row)
+        if held:
+            yield from answer()
+
+    return asks.repartition("part").sortWithinPartitions("part").mapInArrow(run, ROWS)
+
+
+def lm_score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, prior: tuple[float, ...] = PRIOR, vocabulary: int = VOCABULARY, block: int = BLOCK, parts: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_prob, log_prob_per_token, bits_per_token) of each document under the model of ``corpus``, or else of all other rows of docs; the end counts as a token."""
+    if order < 1:
+        raise ValueError("the order is 1 at least")
     spark = docs.sparkSession
     ship(spark)
-    counts = cut(count_ngrams(docs, order))
-    distinct = counts.count()
-    if distinct > max_ngrams:
-        raise ValueError(f"{distinct} distinct n-grams are more than max_ngrams = {max_ngrams}: lower the order or raise min_count")
-    if not distinct:
-        return spark.createDataFrame([], OUT)
-    got = counts.toArrow()
-    model = build(got["code"].to_numpy().view(np.uint64), got["n"].to_numpy(), order, min_count)
-    shared = spark.sparkContext.broadcast(model)
+    # as many ranges as the shuffle has partitions
+    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = stash(pack(docs, order, block), "blocks")
+    asks = _asks(blocks, order, parts, corpus is None, True)
+    known = blocks
+    if corpus is not None:
+        known = stash(pack(corpus, order, block), "blocks")
+        asks = asks.unionByName(_asks(known, order, parts, True, False))
+    seen = known.select(F.size("sizes").alias("d"), F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("w")).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    apart, documents, tokens = corpus is None, int(seen["d"]), int(seen["w"]) + int(seen["d"])
 
     def run(batches):
-        m = shared.value
-        for batch in batches:
-            logs, sizes = [np.empty(0)], [np.empty(0, np.int64)]
-            for a, b in pieces(batch.column(1), LANES):
-                x, n = m.score(batch.column(1).slice(a, b - a))
-                logs.append(x)
-                sizes.append(n)
-            x, n = np.concatenate(logs), np.concatenate(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(x), pa.array(-x / np.log(2) / np.maximum(n, 1))], ["doc_id", "n_symbols", "log_prob", "bits_per_symbol"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
+        held: list[dict] = []
+
+        def scored():
+            own = _unpack(held[0], order)
+            types = own.types()
+            counts = np.concatenate([_from_small(r["data"]) for r in held[1:]])
+            logs, n = automaton(own, counts, documents, tokens, apart, prior, vocabulary, types).score(own), own.sizes + 1
+            return pa.RecordBatch.from_arrays([pa.array(held[0]["ids"], pa.int64()), pa.array(n), pa.array(logs), pa.array(logs / n), pa.array(-logs / n / np.log(2))], [x.split()[0] for x in OUT.split(", ")])
+
+        for row in _each(batches):
+            if row["part"] < 0 and held:
+                yield scored()
+                held = []
+            held.append(row)
+        if held:
+            yield scored()
+
+    # a block is followed by its answers in the order of ranges
+    return blocks.unionByName(_totals(asks)).repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, OUT)

@@ -1,100 +1,106 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexmill.llm.lm_score import build, codes, lm_score
+from lexmill.llm._words import Words
+from lexmill.llm.lm_score import PRIOR, Block, automaton, lm_score
 
 
 class Plain:
-    """Interpolated absolute discounting by its definition."""
+    """Dirichlet-smoothed word n-grams by their definition."""
 
-    def __init__(self, texts, order):
-        self.order = order
-        self.c = {j: Counter() for j in range(1, order + 1)}
+    def __init__(self, texts, order, vocabulary=1 << 20):
+        self.order, self.vocabulary = order, vocabulary
+        self.c, self.context = Counter(), Counter()
         for x in texts:
             y = self.pad(x)
             for i in range(order - 1, len(y)):
-                for j in self.c:
-                    self.c[j][y[i - j + 1 : i + 1]] += 1
-        self.total = {j: Counter() for j in self.c}
-        self.kinds = {j: Counter() for j in self.c}
-        self.d = {}
-        for j, c in self.c.items():
-            for g, v in c.items():
-                self.total[j][g[:-1]] += v
-                self.kinds[j][g[:-1]] += 1
-            a, b = (sum(v == k for v in c.values()) for k in (1, 2))
-            self.d[j] = a / (a + 2 * b) if a and b else 0.5
+                for m in range(1, order + 1):
+                    self.c[y[i - m + 1 : i + 1]] += 1
+                    self.context[y[i - m + 1 : i]] += 1
 
     def pad(self, x):
-        return bytes(self.order - 1) + (x or "").encode() + b"\0"
+        return ("<",) * (self.order - 1) + tuple(re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (x or "").lower())) + (">",)
 
-    def p(self, h, s, j):
-        if not j:
-            return 1 / 256
-        context = h[len(h) - j + 1 :] if j > 1 else b""
-        total = self.total[j][context]
-        if not total:
-            return self.p(h, s, j - 1)
-        return max(self.c[j][context + s] - self.d[j], 0) / total + self.d[j] * self.kinds[j][context] / total * self.p(h, s, j - 1)
+    def p(self, gram):
+        if not gram:
+            return 1 / self.vocabulary
+        k = PRIOR[min(len(gram), len(PRIOR)) - 1]
+        return (self.c[gram] + k * self.p(gram[1:])) / (self.context[gram[:-1]] + k)
 
     def score(self, x):
-        y, n = self.pad(x), self.order - 1
-        return sum(math.log(self.p(y[i - n : i], y[i : i + 1], self.order)) for i in range(n, len(y)))
+        y = self.pad(x)
+        return sum(math.log(self.p(y[i - self.order + 1 : i + 1])) for i in range(self.order - 1, len(y)))
 
 
-TEXTS = ["abracadabra", None, "", "abrakadabra ébc", "x" * 3000 + "ab" * 900, "the cat sat on the mat"]
+def others(texts, i, order=3):
+    return Plain(texts[:i] + texts[i + 1 :], order).score(texts[i])
 
 
-@pytest.mark.parametrize("order", [2, 3, 5])
+LONG = " ".join(f"w{i * i % 41}" for i in range(2000))
+TEXTS = ["The cat sat on the mat", "the cat sat on the hat", "the cat sat on the hat", None, "", " .", LONG, "a a a a b a a", "Ünïcode cat"]
+ASKED = [*TEXTS, "the hat sat", "never seen", "sat on sat on the cat w1 w4", LONG[500:1500]]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_automaton_equals_the_definition(order):
-    code, n = np.unique(codes(pa.array(TEXTS, pa.string()), order), return_counts=True)
-    plain, asked = Plain(TEXTS, order), [*TEXTS, "unseen ÿ", "ab", "xxab the ca"]
-    got, size = build(code, n, order).score(pa.array(asked, pa.string()))
-    assert np.allclose(got, [plain.score(x) for x in asked], rtol=1e-4)
-    assert size.tolist() == [len((x or "").encode()) + 1 for x in asked]
-
-
-def test_without_empty_texts():
-    texts = ["ab ab", "abc", "b" * 2500]
-    code, n = np.unique(codes(pa.array(texts), 4), return_counts=True)
-    got, _ = build(code, n, 4).score(pa.array(texts))
-    assert np.allclose(got, [Plain(texts, 4).score(x) for x in texts], rtol=1e-5)
-
-
-def test_probabilities_sum_to_one():
-    code, n = np.unique(codes(pa.array(TEXTS, pa.string()), 3), return_counts=True)
-    m = build(code, n, 3)
-    for state in range(len(m.fail)):
-        _, w = m.advance(np.full(256, state, np.int32), np.arange(256).astype(np.uint8))
-        assert abs(np.exp(w.astype(float)).sum() - 1) < 1e-4
-
-
-def test_pruned_model_is_proper():
-    code, n = np.unique(codes(pa.array(TEXTS, pa.string()), 4), return_counts=True)
-    m = build(code, n, 4, min_count=3)
-    for state in range(len(m.fail)):
-        _, w = m.advance(np.full(256, state, np.int32), np.arange(256).astype(np.uint8))
-        assert abs(np.exp(w.astype(float)).sum() - 1) < 1e-4
-
-
-def test_query_equals_the_definition(documents):
-    rows = documents.where("n_chars < 400").limit(25).cache()
-    plain = Plain([r["text"] for r in rows.collect()], 5)
-    got = {r["doc_id"]: r for r in lm_score(rows).collect()}
-    for r in rows.collect():
-        want = plain.score(r["text"])
-        assert abs(got[r["doc_id"]]["log_prob"] - want) < 1e-3 * abs(want)
-        assert abs(got[r["doc_id"]]["bits_per_symbol"] + got[r["doc_id"]]["log_prob"] / math.log(2) / (len(r["text"].encode()) + 1)) < 1e-9
-
-
-def test_odd_rows(odd, nothing):
-    got = lm_score(odd).collect()
-    assert len(got) == odd.count() and {r["n_symbols"] for r in got if r["doc_id"] in (3, 4)} == {1}
-    assert all(math.isfinite(r["log_prob"]) for r in got)
-    assert lm_score(nothing).collect() == []
-    with pytest.raises(ValueError, match="max_ngrams"):
-        lm_score(odd, max_ngrams=5)
+    w = Words(pa.array(TEXTS, pa.string()))
+    vocab, codes = np.unique(w.hash, return_inverse=True)
+    block = Block(vocab, codes, w.counts, order)
+    types = block.types()
+    size = len(codes) + len(TEXTS)
+    plain = Plain(TEXTS, order)
+    assert np.allclose(automaton(block, types[2], len(TEXTS), size, False, types=types).score(block), [plain.score(x) for x in TEXTS], rtol=1e-9)
+    assert np.allclose(automaton(block, types[2], len(TEXTS), size, True, types=types).score(block), [others(TEXTS, i, order) for i in range(len(TEXTS))], rtol=1e-9)
+
+
+def test_probabilities_of_a_state_sum_to_one():
+    w = Words(pa.array(TEXTS, pa.string()))
+    vocab, codes = np.unique(w.hash, return_inverse=True)
+    block = Block(vocab, codes, w.counts, 3)
+    types = block.types()
+    m = automaton(block, types[2], len(TEXTS), len(codes) + len(TEXTS), False, vocabulary=len(vocab) + 1, types=types)
+    symbols = np.append(np.arange(len(vocab)), block.end)
+    for state in range(0, len(m.fail), 7):
+        _, gain = m.advance(np.full(len(symbols), state), symbols)
+        assert abs(np.exp(gain).sum() - 1) < 1e-9
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("block,parts", [(1 << 20, 4), (200, 3)])
+def test_scores_equal_the_definition_however_blocks_are_cut(spark, block, parts):
+    got = {r["doc_id"]: r for r in lm_score(frame(spark, TEXTS), block=block, parts=parts).collect()}
+    plain = Plain(TEXTS, 3)
+    assert np.allclose([got[i]["log_prob"] for i in range(len(TEXTS))], [others(TEXTS, i) for i in range(len(TEXTS))], rtol=1e-9)
+    assert [got[i]["n_tokens"] for i in range(len(TEXTS))] == [len(plain.pad(x)) - 2 for x in TEXTS]
+
+
+def test_other_texts_follow_failure_arcs(spark):
+    got = {r["doc_id"]: r["log_prob"] for r in lm_score(frame(spark, ASKED), frame(spark, TEXTS), block=300, parts=3).collect()}
+    plain = Plain(TEXTS, 3)
+    assert np.allclose([got[i] for i in range(len(ASKED))], [plain.score(x) for x in ASKED], rtol=1e-9)
+    empty = {r["doc_id"]: r["log_prob"] for r in lm_score(frame(spark, ASKED), frame(spark, [])).collect()}
+    assert math.isclose(empty[0], 7 * math.log(1 / (1 << 20)))
+
+
+def test_odd_rows(spark, odd, nothing):
+    rows = lm_score(odd).collect()
+    assert len(rows) == odd.count() and all(math.isfinite(r["log_prob"]) and r["n_tokens"] >= 1 for r in rows)
+    texts = [r["text"] for r in odd.select("text").collect()]
+    assert sorted(round(r["log_prob"], 4) for r in rows) == sorted(round(others(texts, i), 4) for i in range(len(texts)))
+    assert sum(r["doc_id"] is None for r in rows) == 2 and lm_score(nothing).count() == 0
+
+
+def test_documents_that_occur_twice_score_apart(spark, documents):
+    some = documents.where("length(text) > 500").dropDuplicates(["text"]).select("doc_id", "text").orderBy("doc_id").limit(60)
+    twice = some.where("doc_id % 3 = 0")
+    got = {r["doc_id"]: r["log_prob_per_token"] for r in lm_score(some.unionByName(twice)).collect()}
+    double = {r["doc_id"] for r in twice.select("doc_id").collect()}
+    assert np.median([got[d] for d in double]) > np.quantile([v for d, v in got.items() if d not in double], 0.9)
