@@ -12,10 +12,10 @@
 The model grows with the corpus and is nowhere held as a whole, neither by the driver nor by an executor. Texts are packed in blocks of about ``BLOCK`` bytes (or one document). A block asks for the n-grams that
 occur in it: their hashes, in sorted chunks by ranges of the hash, go to the tasks that count the range over all blocks, and the totals come back in the order of what was asked. Each block then builds
 the part of the automaton that its own texts can reach, which gives the very scores of the whole one. What is sent is proportional to the text; a frequent n-gram is one entry for each
-block, so no key is hot. The number of ranges is that of shuffle partitions; at a hundred times the data raise it, and ``block`` with it.
+block, so no key is hot. The number of ranges follows that of shuffle partitions; at a hundred times the data raise it, and ``block`` with it.
 
 Defined cases: null and empty texts, and those without a word, consist of the end alone; a null doc_id is scored like others; rows that repeat count and are scored as often as they come;
-without any row the result is empty; with another ``corpus`` that is empty, all probabilities are uniform. Other columns are ignored. N-grams are told apart by 64-bit hashes.
+without any row the result is empty; with another ``corpus`` that is empty, all probabilities are uniform. Other columns are ignored. N-grams are told apart by hashes of ``BITS`` bits: of 10^13 different ones, one in 7,000 would share its hash.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from lexmill.llm._spark import stash
 from lexmill.llm._words import Words, mix, pieces
 from lexmill.session import ship
 
-ORDER, VOCABULARY, BLOCK, SEGMENT = 3, 1 << 20, 8 << 20, 256
+ORDER, VOCABULARY, BLOCK, SEGMENT, BITS = 3, 1 << 20, 4 << 20, 256, 56
 #: The weight of the lower order in the counts of orders 1, 2 and 3; the last one holds for higher orders.
 PRIOR = (1.0, 16.0, 2.0)
 OUT = "doc_id bigint, n_tokens bigint, log_prob double, log_prob_per_token double, bits_per_token double"
@@ -102,8 +102,8 @@ class Block:
     def types(self):
         """Sorted hashes of the n-grams at predicted places, the number of each at each place (orders x places), and how often it occurs."""
         at = self.predicted()
-        keys, inverse, counts = np.unique(np.concatenate([g[at] for g in self.grams()]), return_inverse=True, return_counts=True)
-        return keys, inverse.reshape(self.order, -1), counts
+        keys, inverse, counts = np.unique(np.concatenate([g[at] for g in self.grams()]) >> np.uint64(64 - BITS), return_inverse=True, return_counts=True)
+        return keys, inverse.astype(np.int32).reshape(self.order, -1), counts
 
 
 @dataclass
@@ -261,7 +261,7 @@ def _each(batches) -> Iterator[dict]:
 
 
 def _edges(parts: int) -> np.ndarray:
-    return np.array([(i << 64) // parts for i in range(parts)], np.uint64)
+    return np.array([(i << BITS) // parts for i in range(parts)], np.uint64)
 
 
 def _asks(blocks: DataFrame, order: int, parts: int, counted: bool, asked: bool) -> DataFrame:
@@ -278,8 +278,8 @@ def _asks(blocks: DataFrame, order: int, parts: int, counted: bool, asked: bool)
     return blocks.mapInArrow(run, ROWS)
 
 
-def _totals(asks: DataFrame) -> DataFrame:
-    """The totals over all blocks of what each block asked for, in its order."""
+def _totals(asks: DataFrame, tasks: int) -> DataFrame:
+    """For what each block asked for, in its order, the totals over all other blocks."""
 
     def run(batches):
         part, held = None, []
@@ -287,12 +287,12 @@ def _totals(asks: DataFrame) -> DataFrame:
         def answer():
             keys, counts = [_from_planes(r["vocab"]) for r in held], [_from_small(r["data"]) for r in held]
             _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)[inverse]
+            total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
             at = 0
-            for r, k in zip(held, keys, strict=True):
+            for r, n in zip(held, counts, strict=True):
                 if r["block"] >= 0:
-                    yield _row(r["block"], part, _small(total[at : at + len(k)]))
-                at += len(k)
+                    yield _row(r["block"], part, _small(total[inverse[at : at + len(n)]] - n))
+                at += len(n)
 
         for row in _each(batches):
             if row["part"] != part:
@@ -303,7 +303,7 @@ def _totals(asks: DataFrame) -> DataFrame:
         if held:
             yield from answer()
 
-    return asks.repartition("part").sortWithinPartitions("part").mapInArrow(run, ROWS)
+    return asks.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, ROWS)
 
 
 def lm_score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, prior: tuple[float, ...] = PRIOR, vocabulary: int = VOCABULARY, block: int = BLOCK, parts: int | None = None) -> DataFrame:
@@ -312,8 +312,8 @@ def lm_score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDE
         raise ValueError("the order is 1 at least")
     spark = docs.sparkSession
     ship(spark)
-    # as many ranges as the shuffle has partitions
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # two ranges for each partition of shuffles
+    parts = parts or 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = stash(pack(docs, order, block), "blocks")
     asks = _asks(blocks, order, parts, corpus is None, True)
     known = blocks
@@ -329,7 +329,7 @@ def lm_score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDE
         def scored():
             own = _unpack(held[0], order)
             types = own.types()
-            counts = np.concatenate([_from_small(r["data"]) for r in held[1:]])
+            counts = np.concatenate([_from_small(r["data"]) for r in held[1:]]) + (types[2] if apart else 0)
             logs, n = automaton(own, counts, documents, tokens, apart, prior, vocabulary, types).score(own), own.sizes + 1
             return pa.RecordBatch.from_arrays([pa.array(held[0]["ids"], pa.int64()), pa.array(n), pa.array(logs), pa.array(logs / n), pa.array(-logs / n / np.log(2))], [x.split()[0] for x in OUT.split(", ")])
 
@@ -342,4 +342,4 @@ def lm_score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDE
             yield scored()
 
     # a block is followed by its answers in the order of ranges
-    return blocks.unionByName(_totals(asks)).repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, OUT)
+    return blocks.unionByName(_totals(asks, parts)).repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(run, OUT)
