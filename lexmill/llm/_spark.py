@@ -26,6 +26,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened where a column has them already in any case."""
+    have = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one."""
+    base = shared_dir(spark).rstrip("/") + "/"
+    if not path.startswith(base):
+        raise ValueError(f"{path} is not below {base}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and forget the lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)

@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from lexmill.llm.minhash import K, RADIUS, chunk_masks, drop_near_duplicates, forest, near_duplicates, signatures
+from lexmill.llm.minhash import K, buckets_of, RADIUS, chunk_masks, drop_near_duplicates, forest, near_duplicates, signatures
 
 
 def groups(rows):
@@ -90,3 +90,44 @@ def test_long_chains_settle(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in join(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100}
+
+
+def test_hot_buckets_are_cut_without_losing_a_pair(spark, documents):
+    """Signatures that share four values meet in one bucket; cut into pieces of 7, all groups are still found."""
+    base = [f"common{i}" for i in range(60)]
+    rng = np.random.default_rng(8)
+    rows = []
+    for d in range(90):
+        words = list(base)
+        for i in rng.choice(60, d % 9, replace=False):
+            words[i] = f"own{d}x{i}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(docs)
+    assert len(want) > 40 and groups(near_duplicates(docs, split=7).collect()) == want == groups(near_duplicates(docs).collect())
+
+
+def test_buckets_hold_all_rows_in_pieces(spark):
+    rng = np.random.default_rng(9)
+    keys = np.concatenate([rng.integers(0, 400, 3000), np.full(25_000, 7), [999]])
+    rows = list(zip(keys.tolist(), rng.integers(0, 10**6, len(keys)).tolist(), strict=True))
+    got: dict = {}
+    for r in buckets_of(spark.createDataFrame(rows, "key bigint, rep bigint"), 1000).collect():
+        assert len(r["reps"]) <= 1000 and r["piece"] not in got.setdefault(r["key"], {})
+        got[r["key"]][r["piece"]] = (r["several"], r["reps"])
+    want: dict = {}
+    for k, v in rows:
+        want.setdefault(k, set()).add(v)
+    want = {k: sorted(v) for k, v in want.items() if len(v) > 1}
+    assert {k: [x for i in sorted(p) for x in p[i][1]] for k, p in got.items()} == want
+    assert all({s for s, _ in p.values()} == {len(p) > 1} for p in got.values()) and len(got[7]) > 20
+
+
+def test_texts_under_one_id_are_not_lost(spark):
+    """Rows with equal id and text are one; different texts under one id all stay, whatever the other columns are named."""
+    text = "a text of some length that two documents have but for a word or two at the very end of it all now"
+    rows = [(1, text, 1, "p"), (1, "quite another text about other things that no other row has at all", 2, "q"), (2, text + " then", 3, "r"), (3, "single words of a third kind", 4, "s"), (3, "single words of a third kind", 5, "t"), (None, text, 6, "u")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, own_id int, n_rows string")
+    got = drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.collect()} == {rows[0], rows[1], rows[3], rows[5]}
