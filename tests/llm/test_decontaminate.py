@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 
 from lexmill.llm._words import Words
-from lexmill.llm.decontaminate import RADIUS, block_errors, build, contamination, drop_contaminated, pairs_of, search
+from lexmill.llm.decontaminate import RADIUS, block_errors, build, candidates, contamination, drop_contaminated, pairs_of, search
 
 
 def brute(docs, items, threshold):
@@ -62,7 +62,7 @@ def test_equals_brute_force(spark, case):
     assert exact.keys() == want.keys() and all(abs(exact[k] - want[k]) < 1e-5 for k in want)
     near = {(r["doc_id"], r["item_id"]) for r in contamination(df, bench, 0.5).collect()}
     assert near <= want.keys() and len(near) >= 0.9 * len(want)
-    parts = {(r["doc_id"], r["item_id"]): r["similarity"] for r in contamination(df, bench, 0.5, radius=127, max_item_words=60).collect()}
+    parts = {(r["doc_id"], r["item_id"]): r["similarity"] for r in contamination(df, bench, 0.5, radius=127, max_index_mb=0.01).collect()}
     assert parts == exact
 
 
@@ -70,12 +70,36 @@ def test_tables_find_every_item_within_the_radius():
     rng = np.random.default_rng(5)
     index = build([1], ["alpha beta gamma delta epsilon"], {}, 10, 0.5, RADIUS)
     assert sum(e + 1 for e in block_errors(RADIUS)) == RADIUS + 1
-    mark = np.unpackbits(index.marks[0])
+    mark = np.unpackbits(index.groups[0].marks.view(np.uint8)[0])
     for _ in range(300):
         other = mark.copy()
         other[rng.choice(128, RADIUS, replace=False)] ^= 1
-        blocks = np.ascontiguousarray(np.packbits(other)).view(">u2").astype(int)
-        assert any(t[0][b] < t[0][b + 1] for b, t in zip(blocks, index.tables, strict=True))
+        found = list(candidates(index.groups[0], np.packbits(other)[None], np.array([99.0]), RADIUS))
+        assert [(w.tolist(), i.tolist(), d.tolist()) for w, i, d in found] == [([0], [0], [RADIUS])]
+
+
+def test_candidates_equal_all_pairs_within_the_radius():
+    """10,000 items of one size: what the tables name, after the exact tests, is what comparing all fingerprints gives."""
+    rng = np.random.default_rng(7)
+    index = build(list(range(10_000)), [" ".join(f"x{k}" for k in rng.integers(0, 10**9, 12)) for _ in range(10_000)], {}, 10, 0.6, RADIUS)
+    group = max(index.groups, key=lambda g: len(g.items))
+    assert len(group.items) == 10_000 and group.tables.nbytes < 6_000_000
+    marks = rng.integers(0, 256, (200, 16)).astype(np.uint8)
+    marks[:50] = group.marks.view(np.uint8)[:50]
+    marks[:50, 3] ^= 7
+    want = {(w, i) for w in range(200) for i in np.flatnonzero(np.bitwise_count(marks[w : w + 1].view(np.uint64) ^ group.marks).sum(1) <= RADIUS)}
+    got = {(int(w), int(i)) for ws, items, _ in candidates(group, marks, np.full(200, 1e9), RADIUS) for w, i in zip(ws, items, strict=True)}
+    assert got == want and len(got) >= 50
+
+
+def test_long_documents_are_searched_in_stretches(spark):
+    words = [f"q{i % 4001}" for i in range(60_000)]
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    for at in (8185, 8192, 59_999):
+        words.insert(at, item)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, item)], "doc_id bigint, text string")
+    got = contamination(docs, spark.createDataFrame([(1, item), (2, " ".join(words[30_000:30_040]))], "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["similarity"]) for r in got} == {(1, 1, 1.0), (2, 1, 1.0), (1, 2, 1.0)}
 
 
 def test_planted_items_are_found_and_no_others(spark, sf, documents):
@@ -98,6 +122,13 @@ def test_odd_rows(spark, odd, nothing):
     assert drop_contaminated(odd, items.limit(0)).count() == odd.count()
 
 
+def test_rows_go_by_their_own_text_and_keep_their_columns(spark):
+    rows = [(1, "the item of the benchmark is here", 5, True), (1, "another text altogether", 6, False), (2, None, 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __row bigint, __bad boolean")
+    kept = drop_contaminated(docs, spark.createDataFrame([(1, "item of the benchmark is here")], "item_id bigint, text string"))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[1:])
+
+
 def test_windows_of_one_document():
     index = build([7], ["a b c d"], {}, 5, 0.6, 127)
     x, ok = pairs_of(Words(pa.array(["z a b c d z"])))
