@@ -8,7 +8,7 @@
 3. The singular value decomposition of the weighted sample matrix gives the latent space; the labelled vectors in it are broadcast:
    at most max_labelled x dims floats, whatever the input. ``fit`` checks that size.
 4. Every document is projected; exact cosines with all labelled vectors are computed in blocks of matrix products. Its neighbours are
-   all labelled vectors whose cosine is not below the ``k``-th largest one (ties all count), and each votes with its similarity.
+   all labelled vectors whose cosine is not below the ``k``-th largest one by more than ``TIE`` (ties all count, in spite of the last digits of 32-bit products), and each votes with its similarity.
 5. keep = quality vote >= ``min_quality`` and toxic vote < ``max_toxic``.
 
 Defined cases: labels with a null doc_id, quality or toxic are left out; a doc_id labelled more than once gives one sample row per label row.
@@ -30,7 +30,7 @@ from lexmill.session import ship
 
 MAX_LABELLED, MAX_TERMS, DIMS, NEIGHBOURS = 8192, 1024, 64, 15
 CONSTANT_WEIGHT = 4.0
-MIN_Z, MIN_SHAPE_Z, MIN_QUALITY, MAX_TOXIC, MODEL_MB = 4.2, 3.0, 0.5, 0.5, 64
+MIN_Z, MIN_SHAPE_Z, MIN_QUALITY, MAX_TOXIC, MODEL_MB, TIE, ROWS = 4.2, 3.0, 0.5, 0.5, 64, 1e-4, 256
 OUT = "doc_id bigint, quality_score double, toxic_score double, keep boolean"
 
 _UPPER = np.zeros(256, bool)
@@ -134,31 +134,39 @@ class Model:
     def vote(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         good, toxic = np.empty(len(vectors)), np.empty(len(vectors))
         k = min(self.k, len(self.vectors))
-        for s in range(0, len(vectors), 1024):
-            cos = np.round(vectors[s : s + 1024] @ self.vectors.T, 4)
-            least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
-            weight = np.where(cos >= least, np.maximum(cos, 1e-3), 0).astype(np.float32)
-            total = weight.sum(1)
-            good[s : s + 1024], toxic[s : s + 1024] = weight @ self.good / total, weight @ self.toxic / total
+        for s in range(0, len(vectors), ROWS):
+            # in place: cosines become weights
+            cos = vectors[s : s + ROWS] @ self.vectors.T
+            least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None] - np.float32(TIE)
+            far = cos < least
+            np.maximum(cos, np.float32(1e-3), out=cos)
+            cos[far] = 0
+            total = cos.sum(1)
+            good[s : s + ROWS], toxic[s : s + ROWS] = cos @ self.good / total, cos @ self.toxic / total
         return good, toxic
 
+    def judge(self, text: pa.Array, min_quality: float, max_toxic: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Quality and toxic votes of texts, and whether they are kept."""
+        good, toxic = self.vote(self.project(text)) if len(text) else (np.empty(0), np.empty(0))
+        return good, toxic, (good >= min_quality) & (toxic < max_toxic)
+
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS, dims: int = DIMS, k: int = NEIGHBOURS, min_z: float = MIN_Z, min_shape_z: float = MIN_SHAPE_Z) -> Model | None:
     """The model of a bounded sample of labelled rows; None if there are no usable labels."""
-    usable = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).dropna()
-    sample = usable.orderBy(F.xxhash64("__id"), "__id", "q", "t").limit(max_labelled)
-    rows = F.broadcast(sample).join(docs.select(F.col("doc_id").cast("bigint").alias("__id"), "text"), "__id")
+    usable = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).dropna()
+    sample = usable.orderBy(F.xxhash64("id"), "id", "q", "t").limit(max_labelled)
+    rows = F.broadcast(sample).join(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")), "id")
 
     def gather(batches):
         for batch in batches:
             r, h = terms(batch.column("text"))
             at = np.searchsorted(r, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("q"), batch.column("t"), lists], ["id", "q", "t", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("q"), batch.column("t"), lists], ["id", "q", "t", "terms"])
 
     from lexmill.llm._spark import cut
 
-    seen = cut(rows.select("__id", "q", "t", "text").mapInArrow(gather, "id bigint, q int, t int, terms array<bigint>"))
+    seen = cut(rows.select("id", "q", "t", "text").mapInArrow(gather, "id bigint, q int, t int, terms array<bigint>"))
     size = seen.agg(F.count("*"), F.sum(F.when(F.col("q") > 0, 1).otherwise(0)), F.sum(F.when(F.col("t") > 0, 1).otherwise(0))).first()
     n = size[0]
     if not n:
@@ -202,33 +210,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
 def classify(docs: DataFrame, labels: DataFrame, min_quality: float = MIN_QUALITY, max_toxic: float = MAX_TOXIC, **how) -> DataFrame:
     """(doc_id, quality_score, toxic_score, keep) of every document."""
-    scored = with_scores(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), docs, labels, min_quality, max_toxic, **how)
-    return scored.select("doc_id", F.col("__good").alias("quality_score"), F.col("__toxic").alias("toxic_score"), F.col("__keep").alias("keep"))
-
+    ship(docs.sparkSession)
+    model = fit(docs, labels, **how)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if model is None:
+        return rows.select("doc_id", F.lit(None).cast("double").alias("quality_score"), F.lit(None).cast("double").alias("toxic_score"), F.lit(True).alias("keep"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-def keep_good(docs: DataFrame, labels: DataFrame, min_quality: float = MIN_QUALITY, max_toxic: float = MAX_TOXIC, **how) -> DataFrame:
-    """The rows of docs that classify() keeps, with their columns."""
-    return with_scores(docs, docs, labels, min_quality, max_toxic, **how).where("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    def score(batches):
+        for batch in batches:
+            good, toxic, keep = shared.value.judge(batch.column(1), min_quality, max_toxic)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(toxic), pa.array(keep)], ["doc_id", "quality_score", "toxic_score", "keep"])
 
+    return rows.mapInArrow(score, OUT)
 
-def with_scores(rows: DataFrame, docs: DataFrame, labels: DataFrame, min_quality: float, max_toxic: float, **how) -> DataFrame:
-    """rows with the columns __good, __toxic and __keep; the model is fitted on docs and labels."""
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+def keep_good(docs: DataFrame, labels: DataFrame, min_quality: float = MIN_QUALITY, max_toxic: float = MAX_TOXIC, **how) -> DataFrame:
+    """The rows of docs that classify() keeps, with the columns of docs whatever their names. Nulls and repeated rows are judged as by classify(); no row moves."""
     ship(docs.sparkSession)
     model = fit(docs, labels, **how)
     if model is None:
-        return rows.withColumns({"__good": F.lit(None).cast("double"), "__toxic": F.lit(None).cast("double"), "__keep": F.lit(True)})
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = rows.columns.index("text")
+    at = docs.columns.index("text")
 
-    def score(batches):
-        m = shared.value
+    def run(batches):
         for batch in batches:
-            text = batch.column(at)
-            good, toxic = m.vote(m.project(text)) if batch.num_rows else (np.empty(0), np.empty(0))
-            extra = [pa.array(good), pa.array(toxic), pa.array((good >= min_quality) & (toxic < max_toxic))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "__good", "__toxic", "__keep"])
+            yield batch.filter(pa.array(shared.value.judge(batch.column(at).cast(pa.string()), min_quality, max_toxic)[2]))
 
-    out = StructType([*rows.schema.fields, StructField("__good", DoubleType()), StructField("__toxic", DoubleType()), StructField("__keep", BooleanType())])
-    return rows.mapInArrow(score, out)
+    return docs.mapInArrow(run, docs.schema)
