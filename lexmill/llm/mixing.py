@@ -7,6 +7,8 @@
    projected gradient from r = 1, where t are the target token totals. The gradient of document i is scaled by 1 / n_i, so that long and short documents of a domain move
    alike; the step is 1 / the greatest eigenvalue of the Hessian. A step needs only the residual (A'r - t) / c, one vector of domain length, summed over the
    documents in Spark. The rate of a document is a fold over the residuals so far, so no table of rates is written or joined, and no lineage grows with the steps.
+   The fit ends when the totals are within ``TOLERANCE`` of the targets, or when ``STALL`` steps in turn lower the objective by less than a millionth of it, as where no rates reach
+   the targets; after ``STEPS`` steps without either, a warning states how far off the totals are, and the rates are those of the last step.
 
 Targets: either given weights of domains, or the present totals to the power ``alpha``. Their sum is ``budget`` present totals; by default
 the least budget at which no domain is asked for less than it has: rare domains are repeated and nothing is thrown away.
@@ -20,6 +22,7 @@ the known domains; without any known domain all rates are 1. Null doc_ids are mi
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from lexmill.llm._spark import cut
+from lexmill.llm._spark import cut, fresh
 from lexmill.llm._words import Words, pieces
 from lexmill.session import ship
 
-MAX_LABELLED, BUCKETS, EVIDENCE, ALPHA, STEPS, TOLERANCE = 8192, 1 << 16, 12.0, 0.7, 200, 1e-4
+MAX_LABELLED, BUCKETS, EVIDENCE, ALPHA, STEPS, TOLERANCE, STALL = 8192, 1 << 16, 12.0, 0.7, 200, 1e-4, 10
 
 
 @dataclass
@@ -62,11 +65,11 @@ class Bayes:
 
 def fit(docs: DataFrame, labels: DataFrame, domain: str, max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS, evidence: float = EVIDENCE) -> Bayes | None:
     """The classifier of the domain column; None if no document has a domain."""
-    known = sorted(r[0] for r in docs.select(F.col(domain).cast("string").alias("d")).where("d is not null").distinct().collect())
+    known = sorted(r[0] for r in docs.select(F.col(f"`{domain}`").cast("string").alias("d")).where("d is not null").distinct().collect())
     if not known:
         return None
-    sample = labels.select(F.col("doc_id").cast("bigint").alias("__id")).dropna().distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    rows = F.broadcast(sample).join(docs.select(F.col("doc_id").cast("bigint").alias("__id"), F.col(domain).cast("string").alias("d"), "text"), "__id").where("d is not null").select("d", "text")
+    sample = labels.select(F.col("doc_id").cast("bigint").alias("id")).dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    rows = F.broadcast(sample).join(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(f"`{domain}`").cast("string").alias("d"), F.col("text").cast("string").alias("text")), "id").where("d is not null").select("d", "text")
 
     def count(batches):
         total, seen = np.zeros((len(known), buckets)), np.zeros(len(known))
@@ -101,17 +104,17 @@ def rates_of(n: np.ndarray, p: np.ndarray, residuals: np.ndarray, step: float) -
     return rate, ahead
 
 
-def posteriors(docs: DataFrame, model: Bayes, residuals: np.ndarray | None = None, step: float = 1.0) -> DataFrame:
-    """docs with the columns __n and __p, and with residuals also __rate."""
+def posteriors(docs: DataFrame, model: Bayes, names: list[str], residuals: np.ndarray | None = None, step: float = 1.0) -> DataFrame:
+    """docs with the number of words and the posterior of each text in columns of the first two names, and with residuals the rate in one of the third."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model, residuals))
     at = docs.columns.index("text")
-    more = [StructField("__n", LongType()), StructField("__p", ArrayType(DoubleType()))] + ([] if residuals is None else [StructField("__rate", DoubleType())])
+    more = [StructField(n, t) for n, t in zip(names, [LongType(), ArrayType(DoubleType()), DoubleType()][: 2 if residuals is None else 3], strict=False)]
 
     def run(batches):
         m, moves = shared.value
         for batch in batches:
-            p, n = m.posterior(batch.column(at))
+            p, n = m.posterior(batch.column(at).cast(pa.string()))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
             extra = [pa.array(n), lists] + ([] if moves is None else [pa.array(rates_of(n, p, moves, step)[0])])
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *[f.name for f in more]])
@@ -132,7 +135,7 @@ def targets(have: np.ndarray, domains: list[str], weights: dict[str, float] | No
 
 
 def solve(table: DataFrame, domains: list[str], weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE):
-    """Residuals (steps x domains), the step length, the totals reached and the targets, for a table of __n and __p."""
+    """Residuals (steps x domains), the step length, the totals reached and the targets, for a table of numbers of words and posteriors."""
     k = len(domains)
     sc = table.sparkSession.sparkContext
 
@@ -162,7 +165,12 @@ def solve(table: DataFrame, domains: list[str], weights: dict[str, float] | None
     step = 1 / max(float(np.linalg.eigvalsh((hessian + hessian.T) / 2)[-1]), 1e-9)
     residuals: list[np.ndarray] = []
     now = ahead = have
-    while len(residuals) < steps and np.abs(now - goal).sum() > tolerance * goal.sum():
+    objective = lambda x: float((((x - goal) ** 2) * inverse).sum())
+    best, still = objective(now), 0
+    while np.abs(now - goal).sum() > tolerance * goal.sum() and still < STALL:
+        if len(residuals) == steps:
+            warnings.warn(f"mixing stopped after {steps} steps: totals are off by {np.abs(now - goal).sum() / goal.sum():.2%} of the targets", stacklevel=2)
+            break
         residuals.append((ahead - goal) * inverse)
         shared = sc.broadcast(np.array(residuals))
 
@@ -174,31 +182,44 @@ def solve(table: DataFrame, domains: list[str], weights: dict[str, float] | None
             yield pa.RecordBatch.from_arrays([pa.array([acc.ravel().tolist()], pa.list_(pa.float64()))], ["x"])
 
         now, ahead = total(apply, 2 * k).reshape(2, k)
+        shared.destroy()
+        still = 0 if objective(now) < best * (1 - 1e-6) else still + 1
+        best = min(best, objective(now))
     return np.array(residuals).reshape(-1, k), step, now, goal
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float | None = None, steps: int = STEPS, keep: list[str] | None = None, **how) -> DataFrame:
-    """(doc_id, n_tokens, domain, posterior, rate) of every document; domain is the likeliest. With ``keep``, those columns of docs and __rate."""
+def _rated(docs: DataFrame, labels: DataFrame, domain: str, weights, alpha: float, budget: float | None, steps: int, names: list[str], **how) -> tuple[DataFrame, list[str]] | None:
+    """docs with columns of the names for number of words, posterior and rate, and the domains; None without a domain."""
     ship(docs.sparkSession)
     model = fit(docs, labels, domain, **how)
     if model is None:
-        if keep:
-            return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(1.0).alias("__rate"))
-        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
-    text = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*(keep or ["doc_id"]), "text"])])
-    small = cut(posteriors(text.select("text"), model).select("__n", "__p"))
+        return None
+    small = cut(posteriors(docs.select(F.col("text").cast("string").alias("text")), model, ["n", "p"]).select("n", "p"))
     residuals, step, _, _ = solve(small, model.domains, weights, alpha, budget, steps)
-    rated = posteriors(text, model, residuals, step)
-    if keep:
-        return rated.select(*[F.col(f"`{c}`") for c in keep], "__rate")
-    names = F.array(*[F.lit(d) for d in model.domains])
-    return rated.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__n").alias("n_tokens"), F.element_at(names, F.array_position("__p", F.array_max("__p")).cast("int")).alias("domain"), F.col("__p").alias("posterior"), F.col("__rate").alias("rate"))
+    return posteriors(docs, model, names, residuals, step), model.domains
+
+
+def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float | None = None, steps: int = STEPS, **how) -> DataFrame:
+    """(doc_id, n_tokens, domain, posterior, rate) of every document; domain is the likeliest."""
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(f"`{domain}`").cast("string").alias("known"))
+    made = _rated(slim, labels, "known", weights, alpha, budget, steps, ["n_tokens", "posterior", "rate"], **how)
+    if made is None:
+        return slim.select("doc_id", F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
+    rated, domains = made
+    likeliest = F.element_at(F.array(*[F.lit(d) for d in domains]), F.array_position("posterior", F.array_max("posterior")).cast("int"))
+    return rated.select("doc_id", "n_tokens", likeliest.alias("domain"), "posterior", "rate")
+
 
+def resample(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, alpha: float = ALPHA, budget: float | None = None, steps: int = STEPS, **how) -> DataFrame:
+    """docs with each row floor(rate + u) times, u in [0, 1) a hash of its doc_id and text: the expected number of copies is the rate. Columns stay whatever their names.
 
-def resample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """docs with each row floor(rate + u) times, u in [0, 1) a hash of its doc_id and text: the expected number of copies is the rate."""
-    columns = docs.columns
-    rated = mix(docs, labels, keep=columns, **how)
+    Rows with a null doc_id or text have a u of what they have; rows that repeat doc_id and text get the same number of copies each.
+    """
+    n, p, rate, copy = fresh(docs.columns, "n_tokens", "posterior", "rate", "copy")
+    made = _rated(docs, labels, domain, weights, alpha, budget, steps, [n, p, rate], **how)
+    if made is None:
+        return docs
     u = F.xxhash64("doc_id", "text", F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    copies = F.floor(F.col("__rate") + u).cast("int")
-    return rated.where(copies > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in columns])
+    copies = F.floor(F.col(rate) + u).cast("int")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return made[0].where(copies > 0).select(*columns, F.explode(F.array_repeat(F.lit(1), copies)).alias(copy)).select(*columns)

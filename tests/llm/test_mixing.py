@@ -14,7 +14,7 @@ def test_rates_minimise_the_objective(spark):
     n = rng.integers(1, 200, 60).astype(float)
     p = rng.dirichlet([0.3, 0.3, 0.3], 60)
     have = n @ p
-    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "__n bigint, __p array<double>")
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n bigint, p array<double>")
     for weights, budget in (({"a": 1, "b": 1, "c": 1}, 1.0), ({"a": 1, "b": 0, "c": 0}, 0.3), ({"a": 5, "b": 1, "c": 2}, None)):
         residuals, step, now, goal = solve(df, ["a", "b", "c"], weights, budget=budget, steps=150)
         r, _ = rates_of(n, p, residuals, step)
@@ -41,7 +41,7 @@ def test_classifier_and_totals(spark, sf, documents):
     out = got.join(documents.select("doc_id", "lang"), "doc_id")
     assert out.where(F.col("lang") == F.col("domain")).count() > 0.95 * documents.count()
     model = fit(documents, labels, "lang")
-    rows = posteriors(documents, model).select("__n", "__p").collect()
+    rows = posteriors(documents, model, ["n", "p"]).select("n", "p").collect()
     n, p = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
     goal = targets(n @ p, model.domains, None, 0.7, None)
     reached = np.zeros(len(goal))
@@ -68,3 +68,21 @@ def test_odd_rows(odd, nothing, labels):
     assert resample(odd, labels.limit(0)).columns == odd.columns
     assert mix(odd, labels, domain="node").select("domain").distinct().count() == 1
     assert all(r["rate"] == 1.0 for r in mix(odd.withColumn("lang", F.lit(None).cast("string")), labels).collect())
+
+
+def test_targets_out_of_reach_end_the_fit(spark, recwarn):
+    """Where all posteriors are alike, no rates reach other shares: the fit ends by itself; too few steps are told."""
+    df = spark.createDataFrame([(10, [0.5, 0.5])] * 8, "n bigint, p array<double>")
+    residuals, _, now, goal = solve(df, ["a", "b"], {"a": 9, "b": 1}, budget=1.0)
+    told = lambda: [w for w in recwarn.list if "mixing stopped" in str(w.message)]
+    assert len(residuals) < 200 and np.abs(now - goal).sum() > 0.1 and not told()
+    uneven = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.4, 0.6]), (300, [0.55, 0.45])], "n bigint, p array<double>")
+    solve(uneven, ["a", "b"], {"a": 9, "b": 1}, steps=1)
+    assert told()
+
+
+def test_names_of_columns_clash_with_nothing(spark, labels):
+    rows = [(1, "a b c", "en", 7, "x", 0.5, None), (4, None, None, None, None, None, 3), (None, "d e", "de", 1, "y", 2.0, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_tokens bigint, posterior string, rate double, copy int")
+    got = resample(docs, labels)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == set(rows)
