@@ -3,11 +3,13 @@
 Nodes are hosts of page URLs and of absolute links in their HTML. An edge a -> b weighs the number of pages of a that link to b; relative links and links to
 the own host make no edge. A host with a common prefix label (www, m, blog, ...) and its site, the host without it, have edges of weight 1 both ways.
 
-Trust is PageRank personalised to trusted sites: mass starts there, follows edges in proportion to their weights with probability ``DAMPING`` and else restarts.
-Distrust is the same from blocked sites over reversed edges, so a host that links to blocked ones becomes suspect. Mass at hosts without an edge to follow is lost.
-A seed is a site one of whose labels is in the list. Ranks are stated in units of an equal share of a seed, so that they don't shrink as the graph grows.
+Trust is PageRank personalised to trusted sites: mass starts there, follows edges in proportion to their weights with probability ``DAMPING`` and else restarts; mass at hosts without an edge to
+follow restarts too. That only multiplies the restarts, so the fixed point is the one without, rescaled to the mass of the seeds: one sum at the end does it. A rank is stated in units of an equal share of a seed.
 
-A host is rejected where its distrust is at least ``MIN_DISTRUST`` and above its trust.
+Distrust starts at blocked sites, where it is 1, and runs over reversed edges: a host's distrust is ``DAMPING`` times the mean distrust of the hosts it links to, weighted by its own links.
+So it is the damped share of a host's paths that end at a blocked site, however many other hosts link to that site.
+
+A seed is a site one of whose labels is in the list; for distrust, so is every prefixed host of it. A host is rejected where its distrust is at least ``MIN_DISTRUST`` (somewhat more than a third of its links lead to blocked sites) and above its trust.
 
 The number of steps is fixed, which makes the ranks a finite expression that SQL states too; each step is one join and one aggregation by host.
 
@@ -22,10 +24,8 @@ from pyspark.sql import functions as F
 
 from lexmill.llm._spark import cut
 
-TRUSTED = ("tionsh", "tionble", "tiontion", "ththth")
-BLOCKED = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
 PREFIXES = ("www", "m", "blog", "amp", "mobile")
-DAMPING, STEPS, MIN_DISTRUST = 0.85, 12, 0.05
+DAMPING, STEPS, MIN_DISTRUST = 0.85, 12, 0.3
 _HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@\s]+)"
 _LINK = r"<[aA]\s[^>]*?[hH][rR][eE][fF]\s*=\s*[\"']?([^\"'\s>]+)"
 
@@ -52,37 +52,41 @@ def host_edges(pages: DataFrame, prefixes: tuple[str, ...] = PREFIXES) -> DataFr
     return cross.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def host_ranks(pages: DataFrame, trusted: tuple[str, ...] = TRUSTED, blocked: tuple[str, ...] = BLOCKED, damping: float = DAMPING, steps: int = STEPS, prefixes: tuple[str, ...] = PREFIXES) -> DataFrame:
+def host_ranks(pages: DataFrame, trusted: tuple[str, ...], blocked: tuple[str, ...], damping: float = DAMPING, steps: int = STEPS, prefixes: tuple[str, ...] = PREFIXES) -> DataFrame:
     """(host, trust, distrust) of every host."""
-    edges = host_edges(pages, prefixes)
+    # the only pass over HTML
+    edges = cut(host_edges(pages, prefixes))
     out_sum = edges.groupBy("src").agg(F.sum("weight").alias("o"))
-    in_sum = edges.groupBy("dst").agg(F.sum("weight").alias("i"))
-    shares = edges.join(out_sum, "src").join(in_sum, "dst").select("src", "dst", (F.col("weight") / F.col("o") * damping).alias("ahead"), (F.col("weight") / F.col("i") * damping).alias("back"))
+    shares = edges.join(out_sum, "src").select("src", "dst", (F.col("weight") / F.col("o") * damping).alias("share"))
     # trust flows from src to dst, distrust from dst to src
-    flows = shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("ahead").alias("wt"), F.lit(0.0).alias("wd")).unionByName(shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), F.col("back").alias("wd")))
+    zero = F.lit(0.0)
+    flows = shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("share").alias("wt"), zero.alias("wd")).unionByName(shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), zero.alias("wt"), F.col("share").alias("wd")))
     flows = cut(flows.groupBy("host", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd")))
     hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").unionByName(flows.select("host")).distinct()
     bare = ~F.substring_index("host", ".", 1).isin(*prefixes)
-    named = cut(hosts.select("host", F.when(bare & _seed(F.col("host"), trusted), 1.0).otherwise(0.0).alias("t"), F.when(bare & _seed(F.col("host"), blocked), 1.0).otherwise(0.0).alias("d")))
-    base = named.select("host", (F.col("t") * (1 - damping)).alias("t"), (F.col("d") * (1 - damping)).alias("d"))
+    named = cut(hosts.select("host", F.when(bare & _seed(F.col("host"), trusted), 1.0).otherwise(0.0).alias("t"), F.when(_seed(F.col("host"), blocked), 1.0).otherwise(0.0).alias("d")))
+    base = named.select("host", (F.col("t") * (1 - damping)).alias("t"), zero.alias("d"), F.col("d").alias("b"))
     state = named
     for step in range(steps):
-        moved = state.join(flows, "host").select(F.col("to").alias("host"), (F.col("t") * F.col("wt")).alias("t"), (F.col("d") * F.col("wd")).alias("d"))
-        state = moved.unionByName(base).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        if step % 4 == 3:
+        moved = state.join(flows, "host").select(F.col("to").alias("host"), (F.col("t") * F.col("wt")).alias("t"), (F.col("d") * F.col("wd")).alias("d"), zero.alias("b"))
+        state = moved.unionByName(base).groupBy("host").agg(F.sum("t").alias("t"), F.greatest(F.sum("d"), F.max("b")).alias("d"))
+        if step % 4 == 3 or step + 1 == steps:
             state = cut(state)
-    return state.select("host", F.round("t", 9).alias("trust"), F.round("d", 9).alias("distrust"))
+    mass = state.agg(F.sum("t")).first()[0] or 0.0
+    seeds = named.agg(F.sum("t")).first()[0] or 0.0
+    scale = seeds / mass if mass else 0.0
+    return state.select("host", F.round(F.col("t") * scale, 9).alias("trust"), F.round("d", 9).alias("distrust"))
 
 
-def filter_urls(pages: DataFrame, min_distrust: float = MIN_DISTRUST, **how) -> DataFrame:
+def filter_urls(pages: DataFrame, trusted: tuple[str, ...], blocked: tuple[str, ...], min_distrust: float = MIN_DISTRUST, **how) -> DataFrame:
     """(page_id, host, trust, distrust, keep) of every page."""
-    ranks = host_ranks(pages, **how)
+    ranks = host_ranks(pages, trusted, blocked, **how)
     seen = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host_of(F.col("url")).alias("host")).distinct()
     reject = (F.col("distrust") >= min_distrust) & (F.col("distrust") > F.col("trust"))
     return seen.join(ranks, "host", "left").select("page_id", "host", "trust", "distrust", F.coalesce(~reject, F.lit(True)).alias("keep"))
 
 
-def sql(trusted: tuple[str, ...] = TRUSTED, blocked: tuple[str, ...] = BLOCKED, damping: float = DAMPING, steps: int = STEPS, prefixes: tuple[str, ...] = PREFIXES, min_distrust: float = MIN_DISTRUST) -> str:
+def sql(trusted: tuple[str, ...], blocked: tuple[str, ...], damping: float = DAMPING, steps: int = STEPS, prefixes: tuple[str, ...] = PREFIXES, min_distrust: float = MIN_DISTRUST) -> str:
     """The rows of filter_urls() in DuckDB."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     items = lambda xs: "[" + ", ".join(map(quote, xs)) + "]"
@@ -93,12 +97,13 @@ def sql(trusted: tuple[str, ...] = TRUSTED, blocked: tuple[str, ...] = BLOCKED,
         "named AS (SELECT src FROM seen WHERE src IS NOT NULL UNION SELECT dst FROM linked)",
         f"sites AS (SELECT src, substring(src, strpos(src, '.') + 1) AS dst FROM named WHERE list_contains({items(prefixes)}, split_part(src, '.', 1)) AND strpos(substring(src, strpos(src, '.') + 1), '.') > 0)",
         "edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM linked UNION ALL SELECT src, dst, 1.0 FROM sites UNION ALL SELECT dst, src, 1.0 FROM sites) GROUP BY src, dst)",
-        "shares AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS ahead, weight / sum(weight) OVER (PARTITION BY dst) AS back FROM edges)",
+        "shares AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges)",
         "hosts AS (SELECT src AS host FROM seen WHERE src IS NOT NULL UNION SELECT src FROM shares UNION SELECT dst FROM shares)",
-        f"r0 AS MATERIALIZED (SELECT host, (NOT list_contains({items(prefixes)}, split_part(host, '.', 1)) AND list_has_any(string_split(host, '.'), {items(trusted)}))::INT::DOUBLE AS t, (NOT list_contains({items(prefixes)}, split_part(host, '.', 1)) AND list_has_any(string_split(host, '.'), {items(blocked)}))::INT::DOUBLE AS d FROM hosts)",
+        f"r0 AS MATERIALIZED (SELECT host, (NOT list_contains({items(prefixes)}, split_part(host, '.', 1)) AND list_has_any(string_split(host, '.'), {items(trusted)}))::INT::DOUBLE AS t, list_has_any(string_split(host, '.'), {items(blocked)})::INT::DOUBLE AS d FROM hosts)",
     ]
     for i in range(steps):
-        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT dst AS host, {damping} * t * ahead AS t, 0.0 AS d FROM shares JOIN r{i} ON host = src UNION ALL SELECT src, 0.0, {damping} * d * back FROM shares JOIN r{i} ON host = dst UNION ALL SELECT host, {1 - damping} * t, {1 - damping} * d FROM r0) GROUP BY host)")
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT host, sum(t) AS t, greatest(sum(d), max(b)) AS d FROM (SELECT dst AS host, {damping} * t * share AS t, 0.0 AS d, 0.0 AS b FROM shares JOIN r{i} ON host = src UNION ALL SELECT src, 0.0, {damping} * d * share, 0.0 FROM shares JOIN r{i} ON host = dst UNION ALL SELECT host, {1 - damping} * t, 0.0, d FROM r0) GROUP BY host)")
+    parts.append(f"scale AS (SELECT coalesce((SELECT sum(t) FROM r0) / nullif((SELECT sum(t) FROM r{steps}), 0), 0) AS x)")
     return "WITH " + ",\n".join(parts) + f"""
 SELECT page_id, src AS host, trust, distrust, coalesce(NOT (distrust >= {min_distrust} AND distrust > trust), true) AS keep
-FROM (SELECT DISTINCT page_id, url, src FROM seen) LEFT JOIN (SELECT host, round(t, 9) AS trust, round(d, 9) AS distrust FROM r{steps}) ON host = src"""
+FROM (SELECT DISTINCT page_id, url, src FROM seen) LEFT JOIN (SELECT host, round(t * (SELECT x FROM scale), 9) AS trust, round(d, 9) AS distrust FROM r{steps}) ON host = src"""

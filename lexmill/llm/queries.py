@@ -18,6 +18,10 @@ from lexmill.llm.mixing import mix
 from lexmill.llm.suffix_family import repeats
 from lexmill.llm.token_planes import token_planes
 
+#: Seeds of the URL filter for the test tables: labels of sites.
+TRUSTED = ("tionsh", "tionble", "tiontion", "ththth")
+BLOCKED = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,7 +56,7 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(_table(spark, sf_dir, "pages"))
+    return filter_urls(_table(spark, sf_dir, "pages"), TRUSTED, BLOCKED)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The others can't be expressed in SQL at reasonable cost; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": link_trust_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": link_trust_sql(TRUSTED, BLOCKED)}
