@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm._spark import scratch
+from lexmill.llm._spark import remove, scratch
 from lexmill.llm.decontaminate import drop_contaminated
 from lexmill.llm.knn_quality import keep_good
 from lexmill.llm.minhash import drop_near_duplicates
@@ -56,12 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents of sf_dir; between stages the rows lie in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to the documents of sf_dir; between stages the rows lie in the shared folder, until the next stage is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = scratch(spark, f"stage{i}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if last:
+                remove(spark, last)
+            last = path
     return docs
