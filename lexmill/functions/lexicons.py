@@ -47,8 +47,5 @@ CATEGORIES = [
 CATEGORY_NAMES = {"I": "ORGANISATION", "II": "GENERAL", "III": "LICENSING", "IV": "ACCOUNTING", "V": "PAYMENTS", "VI": "PRUDENTIAL", "VII": "CONTROL", "VIII": "GROUPS", "IX": "CONSUMERS"}
 OCR_RULES = [(r"\bl(?=\d)", "1"), (r"(?<=\d)O", "0"), (r"(\d),(\d)", "$1.$2"), (r"\bArtic1e\b", "Article"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")]
 ORDINALS = ["premier", "deuxième", "troisième", "quatrième", "cinquième", "sixième", "septième", "huitième", "neuvième", "dixième"]
-ERROR_CLASSES = [("NETWORK", ["connection", "timeout", "network"]), ("AUTH", ["auth", "permission", "signup"]), ("EXPORT", ["export", "purchase"]), ("VALIDATION", ["valid", "click"]), ("DOCUMENT", ["pdf", "view", "error"])]
-ERROR_RULES = {"error": ("CRITICAL", "FALLBACK"), "signup": ("HIGH", "SKIP"), "purchase": ("HIGH", "RETRY"), "click": ("LOW", "IGNORE")}
 CONFLICTS = [("modification", "conformity"), ("exception", "conformity"), ("modification", "application")]
-PREDEFINED = [("règlement cobac r-1992", "VI"), ("règlement cobac r-1993", "VI"), ("instruction cobac i-1994", "V"), ("décision cobac d-1995", "III"), ("décision cobac d-1996/0", "VII"), ("instruction cobac", "VII"), ("règlement cobac r-199", "II")]
 PLACEHOLDERS = ["non disponible", "non spécifié", "à analyser", "à compléter", "à identifier", "à évaluer"]

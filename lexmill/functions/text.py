@@ -24,15 +24,19 @@ def n_ends(c: Column | str) -> Column:
     return F.regexp_count(col(c), F.lit(r"[.!?]"))
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value), with the value computed once for each row however often fn uses it."""
+    # a default argument would count as a second parameter of the lambda
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def hits(c: Column | str, terms: list[str]) -> Column:
     """How many of the terms the lower-cased text contains."""
-    low = F.lower(col(c))
-    return reduce(lambda a, b: a + b, [F.when(low.contains(t), 1).otherwise(0) for t in terms])
+    return let(F.lower(col(c)), lambda low: reduce(lambda a, b: a + b, [low.contains(t).cast("int") for t in terms]))
 
 
 def any_of(c: Column | str, terms: list[str]) -> Column:
-    low = F.lower(col(c))
-    return reduce(lambda a, b: a | b, [low.contains(t) for t in terms])
+    return let(F.lower(col(c)), lambda low: reduce(lambda a, b: a | b, [low.contains(t) for t in terms]))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -108,13 +112,9 @@ def alnum_ratio(c: Column | str) -> Column:
 
 
 def extraction_quality(c: Column | str) -> Column:
-    w, e = n_words(c), n_ends(c)
-    return (
-        F.when(w > 50, 0.3).when(w > 20, 0.2).when(w > 10, 0.1).otherwise(0.0)
-        + F.least(F.lit(0.4) * alnum_ratio(c), F.lit(0.4))
-        + F.when(e > 5, 0.2).when(e > 2, 0.1).otherwise(0.0)
-        + F.when(hits(c, L.LEGAL_TERMS) >= 3, 0.1).otherwise(0.0)
-    )
+    words = let(n_words(c), lambda w: F.when(w > 50, 0.3).when(w > 20, 0.2).when(w > 10, 0.1).otherwise(0.0))
+    ends = let(n_ends(c), lambda e: F.when(e > 5, 0.2).when(e > 2, 0.1).otherwise(0.0))
+    return words + F.least(F.lit(0.4) * alnum_ratio(c), F.lit(0.4)) + ends + F.when(hits(c, L.LEGAL_TERMS) >= 3, 0.1).otherwise(0.0)
 
 
 def text_quality(c: Column | str) -> Column:
@@ -132,8 +132,8 @@ def ocr_confidence(c: Column | str) -> Column:
 
 def accepted(c: Column | str) -> Column:
     """Whether an extracted text is good enough."""
-    q = extraction_quality(c)
-    return (F.length(F.trim(col(c))) >= 100) & (n_words(c) >= 10) & ((q >= 0.6) | ((hits(c, L.ACCEPTANCE_TERMS) >= 2) & (q >= 0.4)))
+    enough = let(extraction_quality(c), lambda q: (q >= 0.6) | ((q >= 0.4) & (hits(c, L.ACCEPTANCE_TERMS) >= 2)))
+    return (F.length(F.trim(col(c))) >= 100) & (n_words(c) >= 10) & enough
 
 
 def materiality(c: Column | str) -> Column:
@@ -141,8 +141,8 @@ def materiality(c: Column | str) -> Column:
 
 
 def export_materiality(c: Column | str) -> Column:
-    high, medium = hits(c, L.EXPORT_HIGH), hits(c, L.EXPORT_MEDIUM)
-    return F.when(high >= 2, "HIGH").when((high == 1) | (medium >= 2), "MEDIUM").otherwise("LOW")
+    high = hits(c, L.EXPORT_HIGH)
+    return let(high, lambda n: F.when(n >= 2, "HIGH").when((n == 1) | (hits(c, L.EXPORT_MEDIUM) >= 2), "MEDIUM").otherwise("LOW"))
 
 
 def themes(c: Column | str) -> Column:
@@ -151,18 +151,16 @@ def themes(c: Column | str) -> Column:
 
 
 def impact(c: Column | str) -> Column:
-    high, medium = hits(c, L.IMPACT_HIGH), hits(c, L.IMPACT_MEDIUM)
-    return F.when(high >= 3, "ÉLEVÉ").when((high >= 1) | (medium >= 3), "MOYEN").otherwise("FAIBLE")
+    high = hits(c, L.IMPACT_HIGH)
+    return let(high, lambda n: F.when(n >= 3, "ÉLEVÉ").when((n >= 1) | (hits(c, L.IMPACT_MEDIUM) >= 3), "MOYEN").otherwise("FAIBLE"))
 
 
 def category(c: Column | str) -> Column:
     """The category of greatest weighted keyword count, at least 1; of equal ones the first; else II."""
-    scores = [(name, F.lit(weight) * hits(c, terms)) for name, weight, terms in L.CATEGORIES]
-    best = F.greatest(*[s for _, s in scores])
-    out = F.lit("II")
-    for name, s in reversed(scores):
-        out = F.when(s == best, name).otherwise(out)
-    return F.when(best >= 1.0, out).otherwise("II")
+    names = F.array(*[F.lit(name) for name, _, _ in L.CATEGORIES])
+    score = lambda low: F.array(*[F.lit(weight) * reduce(lambda a, b: a + b, [low.contains(t).cast("int") for t in terms]) for _, weight, terms in L.CATEGORIES])
+    best = lambda s: F.when(F.array_max(s) >= 1.0, F.get(names, F.array_position(s, F.array_max(s)).cast("int") - 1)).otherwise("II")
+    return let(F.lower(col(c)), lambda low: let(score(low), best))
 
 
 def _first(sentences: Column, term: str) -> Column:

@@ -77,27 +77,6 @@ def g22(spark, sf):
     return t.join(r.select("doc_id", F.length("txt").cast("bigint").alias("size")), "doc_id").select("doc_id", "seq", "number", "title", (F.coalesce("nx", "size") - F.col("pos")).alias("n_chars"))
 
 
-@query("j9_predefined_match", f"{REG}, k(ord, key, category) AS (VALUES {', '.join(f'({i}, {quoted(k)}, {quoted(c)})' for i, (k, c) in enumerate(L.PREDEFINED))}), h AS (SELECT doc_id, lower(regexp_extract(txt, '^([^\n]+)', 1)) AS head FROM reg) SELECT doc_id, min_by(key, ord) AS key, min_by(category, ord) AS category FROM h JOIN k ON contains(head, key) GROUP BY doc_id")
-def j9(spark, sf):
-    k = F.broadcast(spark.createDataFrame([(i, k, c) for i, (k, c) in enumerate(L.PREDEFINED)], "ord int, key string, category string"))
-    h = reg_corpus(spark, sf).select("doc_id", F.lower(F.regexp_extract("txt", r"^([^\n]+)", 1)).alias("head"))
-    return h.join(k, F.contains("head", "key")).groupBy("doc_id").agg(F.min_by("key", "ord").alias("key"), F.min_by("category", "ord").alias("category"))
-
-
-_VARIANTS = [("contrôle interne", "VII"), ("systèmes de paiement", "V"), ("normes prudentielles", "VI"), ("agrément des dirigeants", "III"), ("dispositions générales", "II")]
-
-
-@query("c31_c33_c34_c35_c36_category_name", f"{REG}, v(variant, category) AS (VALUES {', '.join(str(v) for v in _VARIANTS)}), t AS (SELECT doc_id, regexp_extract(txt, '(?m)^relati[a-zà]* (?:au[x]? |à l'')?([^\n]+)', 1) AS title FROM reg), s AS (SELECT doc_id, variant, category, len(list_filter(string_split(variant, ' '), lambda w: length(w) > 2 AND contains(title, w)))::DOUBLE / len(list_filter(string_split(variant, ' '), lambda w: length(w) > 2)) + CASE WHEN contains(title, variant) THEN 0.5 ELSE 0 END + 0.05 * len(string_split(variant, ' ')) AS score FROM t, v) SELECT doc_id, category, round(score::DOUBLE, 6) AS score FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, variant) = 1")
-def c35(spark, sf):
-    v = F.broadcast(spark.createDataFrame(_VARIANTS, "variant string, category string"))
-    t = reg_corpus(spark, sf).select("doc_id", F.regexp_extract("txt", r"(?m)^relati[a-zà]* (?:au[x]? |à l')?([^\n]+)", 1).alias("title"))
-    words = F.filter(F.split("variant", " "), lambda w: F.length(w) > 2)
-    share = F.size(F.filter(words, lambda w: F.col("title").contains(w))) / F.size(words)
-    s = t.crossJoin(v).select("doc_id", "variant", "category", (share + F.when(F.contains("title", "variant"), 0.5).otherwise(0.0) + 0.05 * F.size(F.split("variant", " "))).alias("score")).where("score >= 0.3")
-    best = s.groupBy("doc_id").agg(F.min_by(F.struct("category", "score"), F.struct(-F.col("score"), "variant")).alias("b"))
-    return best.select("doc_id", "b.category", F.round("b.score", 6).alias("score"))
-
-
 @query("c29_summary", r"WITH " + ELEM[5:] + r""" SELECT doc_id, CASE WHEN length(s) > 500 THEN substring(s, 1, 497) || '...' ELSE s END AS summary FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(txt, '(?m)^(TITRE|CHAPITRE|SECTION|Article)[^\n]*', '', 'g'), chr(10) || ' '), '\s+', ' ', 'g') AS s FROM reg)""")
 def c29(spark, sf):
     s = F.regexp_replace(F.trim(F.regexp_replace("txt", r"(?m)^(TITRE|CHAPITRE|SECTION|Article)[^\n]*", ""), F.lit("\n ")), r"\s+", " ")

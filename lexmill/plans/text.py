@@ -48,36 +48,7 @@ def t7(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"))
 
 
-def _noisy(c):
-    """Known OCR errors put into a text."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "Article 1", "Artic1e l2"), r"(\d)0 FCFA", "$1O FCFA"), "le ratio", "le  ratio")
-
-
-_SQL_NOISY = r"regexp_replace(regexp_replace(regexp_replace(txt, 'Article 1', 'Artic1e l2', 'g'), '(\d)0 FCFA', '\1O FCFA', 'g'), 'le ratio', 'le  ratio', 'g')"
-#: The rules again without look-around: what stood around is put back.
-_SQL_FIX = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\bl(\d)', '1\1', 'g'), '(\d)O', '\10', 'g'), '(\d),(\d)', '\1.\2', 'g'), '\bArtic1e\b', 'Article', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
-
-
-@query("t8_t9_t10_t11_ocr_fix", f"{REG}, noisy AS (SELECT doc_id, {_SQL_NOISY} AS x FROM reg) SELECT doc_id, md5({_SQL_FIX}) AS fixed FROM noisy")
-def t8(spark, sf):
-    return reg_corpus(spark, sf).select("doc_id", F.md5(T.ocr_fix(_noisy(F.col("txt")))).alias("fixed"))
-
-
-@query("t12_correction_counts", rf"""{REG}, noisy AS (SELECT doc_id, {_SQL_NOISY} AS x FROM reg), fixed AS (SELECT doc_id, x, {_SQL_FIX} AS y FROM noisy)
-SELECT doc_id, (greatest(0, len(regexp_extract_all(x, '\bArtic1e\b')) - len(regexp_extract_all(y, '\bArtic1e\b'))) + greatest(0, len(regexp_extract_all(x, '[ \t]{{2,}}')) - len(regexp_extract_all(y, '[ \t]{{2,}}'))) + greatest(0, len(regexp_extract_all(x, '\dO')) - len(regexp_extract_all(y, '\dO'))))::BIGINT AS corrections FROM fixed""")
-def t12(spark, sf):
-    x = reg_corpus(spark, sf).select("doc_id", _noisy(F.col("txt")).alias("x")).withColumn("y", T.ocr_fix("x"))
-    rules = [r"\bArtic1e\b", r"[ \t]{2,}", r"\dO"]
-    gone = [F.greatest(F.lit(0), F.regexp_count("x", F.lit(r)) - F.regexp_count("y", F.lit(r))) for r in rules]
-    return x.select("doc_id", reduce(lambda a, b: a + b, gone).cast("bigint").alias("corrections"))
-
-
-@query("t13_t14_article_cleanup", rf"""{ELEM} SELECT doc_id, seq, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '\n{{2,}}', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?° ?', '° ', 'g'), '([.;:])(\p{{Lu}})', '\1 \2', 'g'), '\s*\n\s*', ' ', 'g')) AS cleaned FROM arts""")
-def t13(spark, sf):
-    return E.articles(reg_corpus(spark, sf)).select("doc_id", F.col("seq").cast("bigint").alias("seq"), T.article_text("body").alias("cleaned"))
-
-
-@query("t15_t16_t17_t18_numbers", rf"""{ELEM}, n AS (SELECT doc_id, seq, level, CASE WHEN level = 5 AND number = '1' THEN 'Premier' WHEN level = 5 AND number = '2' THEN 'deuxième ' WHEN level = 5 THEN replace(number, '3', '3,1') ELSE number END AS raw FROM elem WHERE level > 0),
+@query("t15_t16_t18_numbers", rf"""{ELEM}, n AS (SELECT doc_id, seq, level, CASE WHEN level = 5 AND number = '1' THEN 'Premier' WHEN level = 5 AND number = '2' THEN 'deuxième ' WHEN level = 5 THEN replace(number, '3', '3,1') ELSE number END AS raw FROM elem WHERE level > 0),
 c AS (SELECT *, regexp_replace(replace(CASE trim(lower(raw)) {' '.join(f"WHEN {quoted(w)} THEN '{i}'" for i, w in enumerate(L.ORDINALS, 1))} ELSE trim(lower(raw)) END, ',', '.'), '\s+', ' ', 'g') AS number FROM n)
 SELECT doc_id, seq, number, 'Article ' || number AS target, CASE WHEN regexp_matches(upper(number), '^[IVXLC]+$') THEN upper(number) ELSE number END AS heading, coalesce(try_cast(regexp_extract(number, '^(\d+)', 1) AS INT), 9999) AS main, coalesce(try_cast(regexp_extract(number, '^\d+[.-](\d+)', 1) AS INT), 0) AS sub, regexp_extract(number, '(bis|ter|quater)$', 1) AS suffix FROM c""")
 def t15(spark, sf):
@@ -99,19 +70,6 @@ def t19(spark, sf):
     return islands.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", label.alias("s")))), lambda x: x["s"]), ", ").alias("articles"))
 
 
-_SQL_CLASS = _case([(sql_any("event_type", terms), quoted(c)) for c, terms in L.ERROR_CLASSES], "'OTHER'")
-
-
-@query("t22_t23_error_classes", f"SELECT event_id, {_SQL_CLASS} AS category, " + _case([(f"event_type = '{k}'", f"'{v[0]}'") for k, v in L.ERROR_RULES.items()], "'MEDIUM'") + " AS severity, " + _case([(f"event_type = '{k}'", f"'{v[1]}'") for k, v in L.ERROR_RULES.items()], "'RETRY'") + " AS strategy FROM events")
-def t22(spark, sf):
-    category = F.lit("OTHER")
-    for c, terms in reversed(L.ERROR_CLASSES):
-        category = F.when(T.any_of("event_type", terms), c).otherwise(category)
-    rules = F.broadcast(spark.createDataFrame([(k, *v) for k, v in L.ERROR_RULES.items()], "event_type string, severity string, strategy string"))
-    e = table(spark, sf, "events").select("event_id", "event_type").join(rules, "event_type", "left")
-    return e.select("event_id", category.alias("category"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), F.coalesce("strategy", F.lit("RETRY")).alias("strategy"))
-
-
 @query("a1_document_statistics", f"{REG} SELECT doc_id, length(txt)::BIGINT AS n_chars, {sql_words('txt')}::BIGINT AS n_words, {sql_ends('txt')}::BIGINT AS n_sentences FROM reg")
 def a1(spark, sf):
     return reg_corpus(spark, sf).select("doc_id", F.length("txt").cast("bigint").alias("n_chars"), T.n_words("txt").cast("bigint").alias("n_words"), T.n_ends("txt").cast("bigint").alias("n_sentences"))
