@@ -59,13 +59,16 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Counts in as few bytes as the greatest needs, compressed; the first byte says how many."""
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or int(x.max()) <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+    """Counts of mostly one byte, compressed: those of 255 and more follow the bytes."""
+    low = zstandard.ZstdCompressor(level=3).compress(np.minimum(x, 255).astype(np.uint8).tobytes())
+    return len(low).to_bytes(4, "little") + low + zstandard.ZstdCompressor(level=3).compress(x[x >= 255].astype(np.uint64).tobytes())
 
 
 def _from_small(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.int64)
+    n = int.from_bytes(data[:4], "little")
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4 : 4 + n]), np.uint8).astype(np.int64)
+    x[x == 255] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4 + n :]), np.uint64)
+    return x
 
 
 class Block:
@@ -223,7 +226,7 @@ def pack(docs: DataFrame, order: int, block: int) -> DataFrame:
             nonlocal number, size
             words, inverse = np.unique(np.concatenate(held), return_inverse=True)
             codes = inverse.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-            row = _row(number, -1, bytes([codes.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, codes.itemsize).T).tobytes()), list(ids), np.concatenate(sizes).tolist(), _planes(words))
+            row = _row(number, -1, bytes([codes.itemsize]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, codes.itemsize).T).tobytes()), list(ids), np.concatenate(sizes).tolist(), _planes(words))
             number += 1
             ids.clear(), held.clear(), sizes.clear()
             size = 0

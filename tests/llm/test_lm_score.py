@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lexmill.llm._words import Words
-from lexmill.llm.lm_score import PRIOR, Block, automaton, lm_score
+from lexmill.llm.lm_score import PRIOR, Block, _from_planes, _from_small, _planes, _small, automaton, lm_score
 
 
 class Plain:
@@ -104,3 +104,11 @@ def test_documents_that_occur_twice_score_apart(spark, documents):
     got = {r["doc_id"]: r["log_prob_per_token"] for r in lm_score(some.unionByName(twice)).collect()}
     double = {r["doc_id"] for r in twice.select("doc_id").collect()}
     assert np.median([got[d] for d in double]) > np.quantile([v for d, v in got.items() if d not in double], 0.9)
+
+
+def test_codes_of_hashes_and_counts_are_whole():
+    rng = np.random.default_rng(3)
+    for x in (np.empty(0, np.int64), np.array([0, 254, 255, 256, 1 << 40]), rng.integers(0, 400, 5000)):
+        assert np.array_equal(_from_small(_small(x)), x)
+    keys = np.unique(rng.integers(0, 1 << 56, 3000, dtype=np.uint64))
+    assert np.array_equal(_from_planes(_planes(keys)), keys)
