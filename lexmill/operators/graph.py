@@ -27,7 +27,7 @@ def _by_document(edges: DataFrame, fn, schema: str) -> DataFrame:
     import pyarrow as pa
 
     names = [x.split()[0] for x in schema.split(", ")]
-    types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
     kinds = [types[x.split()[1]] for x in schema.split(", ")]
 
     def batch_of(out):
@@ -51,8 +51,8 @@ def _by_document(edges: DataFrame, fn, schema: str) -> DataFrame:
     return edges.select("doc_id", "src", "dst").repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema)
 
 
-def distances(refs: DataFrame, limit: int = 6) -> DataFrame:
-    """(doc_id, src, dst, d): shortest distances up to ``limit`` between different articles of a document: one shuffle, whatever the limit."""
+def distances(refs: DataFrame) -> DataFrame:
+    """(doc_id, src, dst, d): shortest distances between different articles of a document, however long: one shuffle."""
 
     def run(edges):
         after: dict[int, list[int]] = {}
@@ -61,7 +61,7 @@ def distances(refs: DataFrame, limit: int = 6) -> DataFrame:
         out = []
         for s in after:
             depth, layer, d = {s: 0}, [s], 0
-            while layer and d < limit:
+            while layer:
                 d += 1
                 layer = [w for w in dict.fromkeys(w for v in layer for w in after.get(v, ())) if w not in depth]
                 depth.update(dict.fromkeys(layer, d))
@@ -103,17 +103,35 @@ def chains(refs: DataFrame, most: int = 5) -> DataFrame:
     return out.select("doc_id", F.array_join("p", "-").alias("path"), F.size("p").alias("n_vertices"))
 
 
-def cycles(refs: DataFrame, most: int = 5) -> DataFrame:
-    """(doc_id, cycle): simple cycles of 2 to ``most`` vertices, each once, from its least vertex."""
-    e = pairs(refs)
-    paths = e.where("dst > src").select("doc_id", F.array("src", "dst").alias("p"))
-    out = None
-    for k in range(2, most + 1):
-        closed = paths.join(e, (paths["doc_id"] == e["doc_id"]) & (F.element_at(paths["p"], -1) == e["src"]) & (paths["p"][0] == e["dst"])).select(paths["doc_id"], F.array_join("p", "-").alias("cycle"), F.size("p").alias("n_vertices"))
-        out = closed if out is None else out.unionByName(closed)
-        if k < most:
-            paths = paths.join(e, (paths["doc_id"] == e["doc_id"]) & (F.element_at(paths["p"], -1) == e["src"])).where((F.col("dst") > paths["p"][0]) & ~F.array_contains("p", F.col("dst"))).select(paths["doc_id"], F.concat("p", F.array("dst")).alias("p"))
-    return out
+def cycles(refs: DataFrame) -> DataFrame:
+    """(doc_id, cycle, n_vertices): simple cycles of two and more vertices, of any length, each once, from its least vertex.
+
+    Depth-first search within each document from each vertex over greater ones, which turns back where the first can't be reached any more.
+    """
+
+    def run(edges):
+        after: dict[int, list[int]] = {}
+        before: dict[int, list[int]] = {}
+        for a, b in sorted(edges):
+            after.setdefault(a, []).append(b)
+            before.setdefault(b, []).append(a)
+        out = []
+        for s in sorted(after):
+            # what leads back to s over vertices not below it
+            back, layer = {s}, [s]
+            while layer:
+                layer = [w for v in layer for w in before.get(v, ()) if w > s and w not in back and not back.add(w)]
+            stack = [(s, (s,))]
+            while stack:
+                v, path = stack.pop()
+                for w in after.get(v, ()):
+                    if w == s and len(path) > 1:
+                        out.append(("-".join(map(str, path)), len(path)))
+                    elif w > s and w in back and w not in path:
+                        stack.append((w, (*path, w)))
+        return out
+
+    return _by_document(pairs(refs), run, "doc_id bigint, cycle string, n_vertices int")
 
 
 def betweenness(refs: DataFrame) -> DataFrame:

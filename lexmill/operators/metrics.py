@@ -78,6 +78,17 @@ def breaker(rows: DataFrame, most: int = 20, limit: int = 10) -> DataFrame:
     return e.withColumn("severe", F.sum(F.when(F.col("warnings") > 50, 1).otherwise(0)).over(w)).select("event_id", "file_name", "severe", (F.col("severe") > limit).alias("open"))
 
 
+def model_breaker(errors: DataFrame, now: str, most: int = 20) -> DataFrame:
+    """(n_recent, n_truncated, use_model) of errors (event_id, ts, fn, msg): of the last ``most`` errors those of the model count, by name; the five minutes bind the extraction of articles alone.
+
+    More than ten of them, or more than five that mention a truncated answer, turn the model off.
+    """
+    last = errors.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
+    named = F.col("fn").contains("AI") | F.col("fn").contains("validate_chunk") | (F.col("fn").contains("extract_articles") & (F.col("ts") > F.expr(f"timestamp'{now}' - interval 300 seconds")))
+    a = last.where(named).agg(F.count("*").alias("n_recent"), F.count_if(F.col("msg").rlike("completeness_score|articles")).alias("n_truncated"))
+    return a.withColumn("use_model", ~((F.col("n_recent") > 10) | (F.col("n_truncated") > 5)))
+
+
 def cache_entries(events: DataFrame) -> DataFrame:
     """Cache entries from events: a key, a kind, a size, an expiry and the last access."""
     return events.select(

@@ -57,3 +57,20 @@ def repair_json(c: Column) -> Column:
 
     good = lambda x: F.when(F.get_json_object(x, "$").isNotNull() & (x != ""), x)
     return F.coalesce(*[good(tidy(x)) for x in (fenced, raw, F.when(open_ != "", F.concat(F.regexp_replace(open_, r",\s*$", ""), F.lit("}"))).otherwise(""))])
+
+
+def repaired_score(c: Column) -> tuple[Column, Column]:
+    """The completeness score of an answer and how it was found.
+
+    A truncated answer (short and about the score, or one that starts with its quoted name) counts 75; one that starts with another quote has no score of its kind. Else an object is repaired
+    (a label before it doesn't matter), then values after names are read, and 50 is the last resort.
+    """
+    x = F.trim(c)
+    about = x.contains("completeness_score")
+    truncated = ((F.length(x) < 50) & about & ~x.contains("{")) | x.startswith('"completeness_score"')
+    quoted = x.startswith('"')
+    parsed = F.get_json_object(repair_json(x), "$.completeness_score").cast("double")
+    named = F.nullif(F.regexp_extract(x, r"completeness_score\"?\s*[:=]\s*([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
+    method = F.when(truncated | (quoted & about), "truncated").when(quoted & x.contains("articles"), "articles").when(quoted & x.contains("materiality_level"), "materiality").when(parsed.isNotNull(), "parsed").when(named.isNotNull(), "key_values").otherwise("default")
+    score = F.when(method == "truncated", 75.0).when(method == "parsed", parsed).when(method == "key_values", named).when(method == "default", 50.0)
+    return score, method

@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from lexmill.plans import forms, graph, legal, metrics, pages, regulations, rules, scores, text  # noqa: F401
+    from lexmill.plans import forms, graph, legal, metrics, pages, regulations, reports, rules, scores, text  # noqa: F401

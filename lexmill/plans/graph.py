@@ -13,7 +13,7 @@ from lexmill.sources.corpus import reg_corpus
 _V = ", vert AS (SELECT DISTINCT doc_id, CAST(regexp_extract(number, '^([0-9]+)', 1) AS INT) AS v FROM arts), pair AS (SELECT DISTINCT doc_id, src, dst FROM refs WHERE src <> dst)"
 _BASE = REFS + _V
 _REC = _BASE.replace("WITH ", "WITH RECURSIVE ", 1)
-_DIST = _REC + ", walk AS (SELECT doc_id, src, dst, 1 AS d FROM pair UNION SELECT w.doc_id, w.src, p.dst, d + 1 FROM walk w JOIN pair p ON p.doc_id = w.doc_id AND p.src = w.dst WHERE d < 6 AND w.src <> p.dst), dist AS (SELECT doc_id, src, dst, min(d)::INT AS d FROM walk GROUP BY ALL)"
+_DIST = _REC + ", walk AS (SELECT doc_id, src, dst, 1 AS d FROM pair UNION SELECT w.doc_id, w.src, p.dst, d + 1 FROM walk w JOIN pair p ON p.doc_id = w.doc_id AND p.src = w.dst WHERE d < 30 AND w.src <> p.dst), dist AS (SELECT doc_id, src, dst, min(d)::INT AS d FROM walk GROUP BY ALL)"
 _DEG = "deg AS (SELECT v.doc_id, v.v, (SELECT count(*) FROM pair p WHERE p.doc_id = v.doc_id AND p.dst = v.v) AS n_in, (SELECT count(*) FROM pair p WHERE p.doc_id = v.doc_id AND p.src = v.v) AS n_out FROM vert v)"
 
 
@@ -83,7 +83,7 @@ def n5(spark, sf):
     return G.components(_vertices(a), r)
 
 
-@query("n6_cycles", f"{_REC}, p AS (SELECT doc_id, [src, dst] AS p FROM pair WHERE dst > src UNION ALL SELECT p.doc_id, list_append(p, e.dst) FROM p JOIN pair e ON e.doc_id = p.doc_id AND e.src = p[len(p)] WHERE len(p) < 5 AND e.dst > p[1] AND NOT list_contains(p, e.dst)) SELECT p.doc_id, array_to_string(p, '-') AS cycle, len(p)::INT AS n_vertices FROM p JOIN pair e ON e.doc_id = p.doc_id AND e.src = p[len(p)] AND e.dst = p[1]")
+@query("n6_cycles", f"{_REC}, p AS (SELECT doc_id, [src, dst] AS p FROM pair WHERE dst > src UNION ALL SELECT p.doc_id, list_append(p, e.dst) FROM p JOIN pair e ON e.doc_id = p.doc_id AND e.src = p[len(p)] WHERE e.dst > p[1] AND NOT list_contains(p, e.dst)) SELECT p.doc_id, array_to_string(p, '-') AS cycle, len(p)::INT AS n_vertices FROM p JOIN pair e ON e.doc_id = p.doc_id AND e.src = p[len(p)] AND e.dst = p[1]")
 def n6(spark, sf):
     return G.cycles(_refs(spark, sf)[1])
 
@@ -98,7 +98,16 @@ def n8(spark, sf):
     return G.distances(_refs(spark, sf)[1])
 
 
-@query("n9_betweenness")
+_LEVELS = 14
+_SP = ["sp1 AS (SELECT doc_id, src, dst, 1::DOUBLE AS c FROM pair)", "seen1 AS (SELECT doc_id, src, dst FROM sp1)"]
+for _k in range(2, _LEVELS + 1):
+    _SP.append(f"sp{_k} AS (SELECT s.doc_id, s.src, p.dst, sum(c) AS c FROM sp{_k - 1} s JOIN pair p ON p.doc_id = s.doc_id AND p.src = s.dst WHERE s.src <> p.dst AND NOT EXISTS (SELECT 1 FROM seen{_k - 1} q WHERE q.doc_id = s.doc_id AND q.src = s.src AND q.dst = p.dst) GROUP BY ALL)")
+    _SP.append(f"seen{_k} AS (SELECT * FROM seen{_k - 1} UNION ALL SELECT doc_id, src, dst FROM sp{_k})")
+_SP.append("sp AS (" + " UNION ALL ".join(f"SELECT doc_id, src, dst, {k} AS d, c FROM sp{k}" for k in range(1, _LEVELS + 1)) + ")")
+_BETWEEN = f"{_BASE}, {', '.join(_SP).replace(' AS (', ' AS MATERIALIZED (')}, bt AS (SELECT a.doc_id, a.dst AS v, sum(a.c * b.c / t.c) AS x FROM sp a JOIN sp b ON b.doc_id = a.doc_id AND b.src = a.dst JOIN sp t ON t.doc_id = a.doc_id AND t.src = a.src AND t.dst = b.dst WHERE a.d + b.d = t.d GROUP BY ALL), u AS (SELECT doc_id, src AS v FROM pair UNION SELECT doc_id, dst FROM pair)"
+
+
+@query("n9_betweenness", f"{_BETWEEN} SELECT doc_id, v, round(coalesce(x, 0), 6) AS betweenness FROM u LEFT JOIN bt USING (doc_id, v)")
 def n9_betweenness(spark, sf):
     return G.betweenness(_refs(spark, sf)[1])
 

@@ -151,7 +151,7 @@ def a31(spark, sf):
     return s.join(r, "doc_id").select("doc_id", "n_sections", F.when(F.col("n_sections") > 10, "High").when(F.col("n_sections") > 5, "Medium").otherwise("Low").alias("complexity"), F.array_join(gone, ", ").alias("missing"))
 
 
-@query("a32_w17_flat_sheet", f"{ELEM}, g AS (SELECT doc_id, count(*) AS n FROM arts GROUP BY doc_id) SELECT doc_id, 'SUMMARY' AS kind, '' AS number, n::VARCHAR AS detail FROM g UNION ALL SELECT doc_id, 'ARTICLE', number, CASE WHEN title = '' THEN '-' ELSE title END FROM arts")
+@query("a32_flat_sheet", f"{ELEM}, g AS (SELECT doc_id, count(*) AS n FROM arts GROUP BY doc_id) SELECT doc_id, 'SUMMARY' AS kind, '' AS number, n::VARCHAR AS detail FROM g UNION ALL SELECT doc_id, 'ARTICLE', number, CASE WHEN title = '' THEN '-' ELSE title END FROM arts")
 def a32(spark, sf):
     a = E.articles(reg_corpus(spark, sf))
     top = a.groupBy("doc_id").count().select("doc_id", F.lit("SUMMARY").alias("kind"), F.lit("").alias("number"), F.col("count").cast("string").alias("detail"))
@@ -166,7 +166,7 @@ def a9(spark, sf):
     return j.select("doc_id", "file_name", F.sha2("txt", 256).alias("file_hash"), F.length("txt").cast("bigint").alias("n_chars"), "n_articles", F.when(F.col("n_articles") > 0, "processed").otherwise("empty").alias("state"))
 
 
-@query("g16_k12_k13_article_extracts", f"{ELEM} SELECT doc_id, number, substring(body, 1, 300) AS extract, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS place FROM arts QUALIFY place <= 15")
+@query("g16_article_extracts", f"{ELEM} SELECT doc_id, number, substring(body, 1, 300) AS extract, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS place FROM arts QUALIFY place <= 15")
 def g16(spark, sf):
     w = Window.partitionBy("doc_id").orderBy("seq")
     return E.articles(reg_corpus(spark, sf)).withColumn("place", F.row_number().over(w)).where("place <= 15").select("doc_id", "number", F.substring("body", 1, 300).alias("extract"), "place")

@@ -31,7 +31,7 @@ def k9(spark, sf):
     return M.upsert(_s(spark, sf)).select("session_id", "file_name", "event_id", "status")
 
 
-@query("a10_a12_a22_x10_system_metrics", f"WITH {_S} SELECT count(*) AS n, count(*) FILTER (status = 'success') AS n_success, round(coalesce(avg(processing_time), 0), 6) AS mean_time, round(coalesce(avg(quality_score), 0), 6) AS mean_quality, round(coalesce(avg(warnings), 0), 6) AS mean_warnings FROM s WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 7 DAYS")
+@query("a10_a12_x10_system_metrics", f"WITH {_S} SELECT count(*) AS n, count(*) FILTER (status = 'success') AS n_success, round(coalesce(avg(processing_time), 0), 6) AS mean_time, round(coalesce(avg(quality_score), 0), 6) AS mean_quality, round(coalesce(avg(warnings), 0), 6) AS mean_warnings FROM s WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 7 DAYS")
 def a10(spark, sf):
     return M.system_metrics(_s(spark, sf), NOW, 7)
 
@@ -59,7 +59,7 @@ def a16(spark, sf):
     return M.histogram(_s(spark, sf), "processing_time", M.TIME_BANDS, "very fast")
 
 
-@query("a17_a21_health_report", f"WITH {_S}, m AS (SELECT count(*) AS n, count(*) FILTER (status = 'failed') AS e, avg(processing_time) AS t, avg(quality_score) AS q FROM s WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 1 DAYS), h AS (SELECT *, 100 - CASE WHEN e > 10 THEN 20 WHEN e > 5 THEN 10 ELSE 0 END - CASE WHEN n > 0 AND e::DOUBLE / n > 0.15 THEN 15 ELSE 0 END AS health FROM m) SELECT n, e AS n_errors, health::INT AS health, CASE WHEN health >= 90 THEN 'excellent' WHEN health >= 75 THEN 'good' WHEN health >= 60 THEN 'fair' ELSE 'poor' END AS band, array_to_string(list_filter([CASE WHEN t > 120 THEN 'reduce processing time' END, CASE WHEN q < 0.7 THEN 'improve extraction quality' END, CASE WHEN e > 10 THEN 'look into errors' END], lambda x: x IS NOT NULL), '; ') AS advice FROM h")
+@query("a17_report", f"WITH {_S}, m AS (SELECT count(*) AS n, count(*) FILTER (status = 'failed') AS e, avg(processing_time) AS t, avg(quality_score) AS q FROM s WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 1 DAYS), h AS (SELECT *, 100 - CASE WHEN e > 10 THEN 20 WHEN e > 5 THEN 10 ELSE 0 END - CASE WHEN n > 0 AND e::DOUBLE / n > 0.15 THEN 15 ELSE 0 END AS health FROM m) SELECT n, e AS n_errors, health::INT AS health, CASE WHEN health >= 90 THEN 'excellent' WHEN health >= 75 THEN 'good' WHEN health >= 60 THEN 'fair' ELSE 'poor' END AS band, array_to_string(list_filter([CASE WHEN t > 120 THEN 'reduce processing time' END, CASE WHEN q < 0.7 THEN 'improve extraction quality' END, CASE WHEN e > 10 THEN 'look into errors' END], lambda x: x IS NOT NULL), '; ') AS advice FROM h")
 def a21(spark, sf):
     m = _s(spark, sf).where(M._since(NOW, 1)).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("n_errors"), F.avg("processing_time").alias("t"), F.avg("quality_score").alias("q"))
     e = F.col("n_errors")
@@ -124,7 +124,7 @@ def t20(spark, sf):
 _KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(array_to_string(header, ' ')), '{t}')" for t in terms) + f" THEN '{k}'" for k, terms in G.KINDS) + " ELSE 'other' END"
 
 
-@query("a30_c42_k8_table_summary", f"WITH {_CLEAN} SELECT id, {_KIND} AS kind, len(cells)::INT AS n_rows, len(header)::INT AS n_columns, len(list_filter(range(1, len(header) + 1), lambda i: len(list_filter(cells, lambda r: NOT regexp_matches(r[i], '^[0-9.,]+$'))) = 0))::INT AS n_numeric, len(list_filter(cells, lambda r: len(list_filter(r, lambda x: contains(lower(x), 'total'))) > 0)) > 0 AS has_total FROM clean")
+@query("a30_table_summary", f"WITH {_CLEAN} SELECT id, {_KIND} AS kind, len(cells)::INT AS n_rows, len(header)::INT AS n_columns, len(list_filter(range(1, len(header) + 1), lambda i: len(list_filter(cells, lambda r: NOT regexp_matches(r[i], '^[0-9.,]+$'))) = 0))::INT AS n_numeric, len(list_filter(cells, lambda r: len(list_filter(r, lambda x: contains(lower(x), 'total'))) > 0)) > 0 AS has_total FROM clean")
 def a30(spark, sf):
     return G.table_summary(_grids(spark, sf))
 
@@ -132,7 +132,7 @@ def a30(spark, sf):
 _ANSWER = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN concat('Voici:', chr(10), '```json', chr(10), '{completeness_score: ', CAST(o_custkey % 100 AS STRING_T), ', \"note\": \"ok\", }', chr(10), '```') WHEN 1 THEN concat('{\"completeness_score\": ', CAST(o_custkey % 90 AS STRING_T), '} fin') WHEN 2 THEN concat('res {\"completeness_score\": ', CAST(o_custkey % 80 AS STRING_T), ',') WHEN 3 THEN 'aucun objet' ELSE concat('{\"completeness_score\": 7, // note', chr(10), '\"b\": ', CAST(o_custkey % 9 AS STRING_T), '}') END AS answer FROM orders"
 
 
-@query("g32_p10_c43_json_repair", f"WITH a AS ({_ANSWER.replace('STRING_T', 'VARCHAR')}) SELECT id, CASE id % 5 WHEN 0 THEN CAST(regexp_extract(answer, 'score: ([0-9]+)', 1) AS INT) WHEN 3 THEN NULL ELSE CAST(regexp_extract(answer, 'score\": ([0-9]+)', 1) AS INT) END AS score, id % 5 <> 3 AS parsed FROM a")
+@query("g32_json_objects", f"WITH a AS ({_ANSWER.replace('STRING_T', 'VARCHAR')}) SELECT id, CASE id % 5 WHEN 0 THEN CAST(regexp_extract(answer, 'score: ([0-9]+)', 1) AS INT) WHEN 3 THEN NULL ELSE CAST(regexp_extract(answer, 'score\": ([0-9]+)', 1) AS INT) END AS score, id % 5 <> 3 AS parsed FROM a")
 def g32(spark, sf):
     a = spark.sql(_ANSWER.replace("STRING_T", "STRING").replace("FROM orders", f"FROM parquet.`{sf}/orders.parquet`"))
     j = a.select("id", G.repair_json(F.col("answer")).alias("j"))

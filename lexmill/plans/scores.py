@@ -80,18 +80,6 @@ def c12_gaps(spark, sf):
     return a.groupBy("doc_id").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select("doc_id", F.explode(F.sequence("lo", "hi")).alias("n")).join(a, ["doc_id", "n"], "left_anti")
 
 
-_CHECKS = f"{ELEM}, k AS (SELECT doc_id, count(*) > 0 AS has_articles, count(*) FILTER (title = '') = 0 AS all_titled, max(length(body)) < 5000 AS sized, bool_or({sql_any('body', ['article'])}) AS cites FROM arts GROUP BY doc_id)"
-
-
-@query("c13_c14_checklist", f"{_CHECKS} SELECT doc_id, has_articles, all_titled, sized, cites, {sql_hits('txt', L.TECHNICAL)} >= 2 AS technical, {sql_hits('txt', L.LEGAL_TERMS)} >= 3 AS legal, round((has_articles::INT + all_titled::INT + sized::INT + cites::INT + ({sql_hits('txt', L.TECHNICAL)} >= 2)::INT + ({sql_hits('txt', L.LEGAL_TERMS)} >= 3)::INT) / 6.0::DOUBLE, 6) AS passed FROM k JOIN reg USING (doc_id)")
-def c13(spark, sf):
-    r = reg_corpus(spark, sf)
-    k = E.articles(r).groupBy("doc_id").agg((F.count("*") > 0).alias("has_articles"), (F.count_if(F.col("title") == "") == 0).alias("all_titled"), (F.max(F.length("body")) < 5000).alias("sized"), F.bool_or(T.any_of("body", ["article"])).alias("cites"))
-    d = k.join(r.select("doc_id", (T.hits("txt", L.TECHNICAL) >= 2).alias("technical"), (T.hits("txt", L.LEGAL_TERMS) >= 3).alias("legal")), "doc_id")
-    checks = ["has_articles", "all_titled", "sized", "cites", "technical", "legal"]
-    return d.select("doc_id", *checks, F.round(sum((F.col(c).cast("int") for c in checks), F.lit(0)) / 6.0, 6).alias("passed"))
-
-
 _CHAIN = f"""{ELEM}, s AS (SELECT doc_id, CASE WHEN length(txt) = 0 THEN 0 WHEN length(txt) < 100 THEN 25 WHEN {sql_words('txt')} / (length(txt) / 5.0::DOUBLE) < 0.5 THEN 75 ELSE 100 END AS extraction FROM reg),
 g AS (SELECT doc_id, n - lag(n) OVER (PARTITION BY doc_id ORDER BY n) AS gap FROM (SELECT doc_id, {_MAIN} AS n FROM arts)), l AS (SELECT doc_id, greatest(0, 100 - 10 * count(*) FILTER (gap > 5)) AS legal, CASE WHEN count(*) >= 5 THEN 100 WHEN count(*) >= 2 THEN 75 ELSE 50 END AS complete FROM g GROUP BY doc_id),
 c AS (SELECT doc_id, extraction, 75 AS chunks, coalesce(legal, 50) AS legal, coalesce(complete, 0) AS complete FROM s LEFT JOIN l USING (doc_id))"""
@@ -109,6 +97,13 @@ def c19(spark, sf):
     return c.withColumn("overall", F.round(0.25 * F.col("extraction") + 0.25 * F.col("chunks") + 0.30 * F.col("legal") + 0.20 * F.col("complete"), 4))
 
 
+@query("w17_validation_sheet", f"{_CHAIN} SELECT doc_id, round((0.25 * extraction + 0.25 * chunks + 0.30 * legal + 0.20 * complete)::DOUBLE, 4) AS overall, CASE WHEN extraction = 100 AND legal = 100 AND complete = 100 THEN 'None' ELSE concat_ws('; ', CASE WHEN extraction < 100 THEN 'extraction ' || extraction END, CASE WHEN legal < 100 THEN 'legal structure ' || legal::INT END, CASE WHEN complete < 100 THEN 'completeness ' || complete END) END AS issues FROM c")
+def w17(spark, sf):
+    c = c19(spark, sf)
+    found = F.concat_ws("; ", *[F.when(F.col(k) < 100, F.concat(F.lit(label + " "), k)) for k, label in (("extraction", "extraction"), ("legal", "legal structure"), ("complete", "completeness"))])
+    return c.select("doc_id", "overall", F.when(found == "", "None").otherwise(found).alias("issues"))
+
+
 @query("c40_ocr_text_confidence", rf"""{REG} SELECT doc_id, round(greatest(0.0, least(1.0, 0.4 * least({sql_hits('txt', L.LEGAL_TERMS)} / 10.0::DOUBLE, 1) + 0.3 * least(len(regexp_extract_all(txt, '(?m)^(?:Article|TITRE|CHAPITRE)'))::DOUBLE / 5, 1) + 0.3 * least(len(regexp_extract_all(lower(txt), ' (?:le|la|les|de|du|des|et) '))::DOUBLE / 20, 1) - 0.05 * {sql_hits('txt', L.MISSPELT)})), 6) AS confidence FROM reg""")
 def c40(spark, sf):
     x = "txt"
