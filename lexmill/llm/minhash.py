@@ -212,8 +212,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     id_ = F.col("doc_id").cast("bigint")
     times = docs.where(id_.isNotNull()).groupBy(id_.alias(own)).agg(F.count("*").alias(n), F.min(F.xxhash64("text")).alias(low), F.max(F.xxhash64("text")).alias(high)).where(F.col(n) > 1)
     times = cut(times.select(own, (F.col(low) != F.col(high)).alias(n)))
-    gone = near_duplicates(docs, radius).where("not keep").select(F.col("doc_id").alias(own)).join(times.where(n).select(own), own, "left_anti")
-    held = docs.join(gone, id_ == F.col(own), "left_anti")
+    gone = near_duplicates(docs, radius).where("not keep").select(F.col("doc_id").alias(own))
+    if times.isEmpty():
+        return docs.join(gone, id_ == F.col(own), "left_anti")
+    held = docs.join(gone.join(times.where(n).select(own), own, "left_anti"), id_ == F.col(own), "left_anti")
     single, again = (held.join(times.select(own), id_ == F.col(own), how) for how in ("left_anti", "left_semi"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if any("map<" in kind for _, kind in docs.dtypes):
