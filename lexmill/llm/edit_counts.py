@@ -5,6 +5,9 @@ characters and tokens below it. An edit (start, n, new) replaces n characters by
 joined and edited. Where an edge of the result is no longer a certain pre-token boundary, the neighbouring leaf is added as context. Only that region is encoded again, and sums
 change on the paths to the root.
 
+Trees can be kept: ``plant`` makes a table of leaves and their counts, ``edit_trees`` applies a batch of edits to it and gives the table for the next batch, so a later batch encodes what it touches and
+nothing else. ``counts_after`` does both in one pass, for edits that a function makes of the text.
+
 A cut is certain where a single space lies between two characters that aren't white space: every pre-token of the pattern takes at most one space, at its front, or white
 space alone. So the count of a text is the sum of its leaves, before and after any edit.
 
@@ -32,7 +35,7 @@ Edit = tuple[int, int, str]
 
 _SUSPECT = re.compile(r"[\d@=]|AKIA")
 _PRIVATE = re.compile(
-    r"[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+"  # mail address
+    r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"  # mail address, from the start of its run so that long runs are read once
     r"|\bAKIA[0-9A-Z]{16}\b|\b(?:token|secret|password|api_key)\s*=\s*\"[^\"]*\""  # key
     r"|\b\d{1,3}(?:\.\d{1,3}){3}\b"  # IPv4 address
     r"|\+\d{1,3} \(\d{3}\) \d{3}-\d{4}|\b\d{13,19}\b"  # telephone, card
@@ -74,14 +77,31 @@ class Tree:
         self.encoded = 0
         self._plant(text)
 
+    @classmethod
+    def restore(cls, leaves: list[str], tokens: list[int], count: Callable[[str], int], segment: int = SEGMENT) -> Tree:
+        """The tree of kept leaves and counts; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.count, tree.segment, tree.encoded = count, segment, 0
+        tree._grow(leaves or [""], tokens or [0])
+        return tree
+
+    def kept(self) -> tuple[list[str], list[int]]:
+        """Leaves and counts, for restore()."""
+        some = [(leaf, self.tokens[self.size + i]) for i, leaf in enumerate(self.leaves) if leaf] or [("", 0)]
+        return [x for x, _ in some], [n for _, n in some]
+
     def _plant(self, text: str) -> None:
-        self.leaves = cuts(text, self.segment) if text else [""]
+        leaves = cuts(text, self.segment) if text else [""]
+        self._grow(leaves, [self.count(leaf) if leaf else 0 for leaf in leaves])
+
+    def _grow(self, leaves: list[str], tokens: list[int]) -> None:
+        self.leaves = list(leaves)
         self.size = 1
         while self.size < len(self.leaves):
             self.size *= 2
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(leaf), self.count(leaf) if leaf else 0
+        for i, (leaf, n) in enumerate(zip(self.leaves, tokens, strict=True)):
+            self.chars[self.size + i], self.tokens[self.size + i] = len(leaf), n
         for i in range(self.size - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
@@ -203,3 +223,51 @@ def counts_after_table(docs: DataFrame, edits: DataFrame, tokenizer: str = TOKEN
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
     return text.join(each, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "edits").mapInArrow(run, OUT)
+
+
+TREES = "doc_id bigint, leaves array<string>, tokens array<int>"
+EDITED = TREES + ", n_edits int, tokens_before bigint, tokens_after bigint, tokens_encoded bigint, chars_after bigint"
+_KEPT = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+
+
+def plant(docs: DataFrame, tokenizer: str = TOKENIZER, segment: int = SEGMENT) -> DataFrame:
+    """(doc_id, leaves, tokens): the segment tree of each document, to be written as a table. Null text has one empty leaf; no row moves."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(_ranks(tokenizer))
+
+    def run(batches):
+        enc = encoding(shared.value)
+        count = lambda s: len(enc.encode_ordinary(s))
+        for batch in batches:
+            rows = [(doc, *Tree(text.as_py() or "", count, segment).kept()) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KEPT, strict=True)], ["doc_id", "leaves", "tokens"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREES)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, tokenizer: str = TOKENIZER, segment: int = SEGMENT) -> DataFrame:
+    """Trees after a batch of edits (doc_id, seq, start, n, new), with the counts before and after and the tokens encoded for it; (doc_id, leaves, tokens) of the result are the trees for the next batch.
+
+    Documents without an edit pass through and nothing of them is encoded.
+    """
+    ship(trees.sparkSession)
+    shared = trees.sparkSession.sparkContext.broadcast(_ranks(tokenizer))
+    each = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("of")).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "n", F.col("new")))).alias("edits"))
+
+    def run(batches):
+        enc = encoding(shared.value)
+        count = lambda s: len(enc.encode_ordinary(s))
+        for batch in batches:
+            rows = []
+            for doc, leaves, tokens, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tree = Tree.restore(leaves, tokens, count, segment)
+                before = tree.tokens[1]
+                for e in own or []:
+                    tree.edit(e["start"] or 0, e["n"] or 0, e["new"] or "")
+                rows.append((doc, *tree.kept(), len(own or []), before, tree.tokens[1], tree.encoded, tree.chars[1]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*_KEPT, *_TYPES[1:]], strict=True)], [x.split()[0] for x in EDITED.split(", ")])
+
+    joined = trees.select("doc_id", "leaves", "tokens").join(each, F.col("doc_id") == F.col("of"), "left")
+    return joined.select("doc_id", "leaves", "tokens", "edits").mapInArrow(run, EDITED)

@@ -7,7 +7,8 @@ first PREFIX words, about 2 / (LENGTH - PREFIX + 2) of all suffixes. No repeated
 
 ``Family`` keeps the arrays as sorted levels in the shared folder. A new batch gets its array, which is scanned in merge order against itself and each level: leads that
 occur again, or in a run of more than LENGTH windows, are what may repeat. Then it becomes a level of rank 0, and as long as two levels have the same rank they are merged to one of the next rank: n batches leave at most
-log2(n) + 1 levels, and an entry is rewritten log2(n) times at most.
+log2(n) + 1 levels, and an entry is rewritten log2(n) times at most. ``save`` keeps a family for later batches, ``Family.open`` takes it up again. The order of the arrays is that of
+fingerprints of 25-word blocks, not of letters: suffixes with equal first blocks lie next to each other, which is what the scan needs; the lengths of matches come from the exact step at the end.
 
 At last the runs of leads that occur again are read with the 64-bit hashes of all their windows, and those hashes that occur in at least two runs, or
 in one run at starts LENGTH or more apart (text of a short period), are repeats: exact but for hash collisions. They are merged to maximal spans of words.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm._spark import scratch
+from lexmill.llm._spark import remove, scratch
 from lexmill.llm._words import Words, mix, pieces
 from lexmill.session import ship
 
@@ -109,14 +110,29 @@ class Family:
         df.write.parquet(path)
         return path
 
-    def _drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+    def save(self) -> str:
+        """Write what open() needs; the folder."""
+        rows = [("level", rank, path) for rank, path in self.levels] + [("found", 0, path) for path in self.found] + [("made", self.made, f"{self.length} {self.prefix}")]
+        self.spark.createDataFrame(rows, "kind string, rank int, path string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/family")
+        return self.folder
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Family:
+        """The family that save() has kept in a folder."""
+        rows = spark.read.parquet(f"{folder}/family").collect()
+        made = next(r for r in rows if r["kind"] == "made")
+        family = cls(spark, *map(int, made["path"].split()))
+        family.folder, family.made = folder, made["rank"]
+        family.levels = sorted(((r["rank"], r["path"]) for r in rows if r["kind"] == "level"), key=lambda x: -x[0])
+        family.found = [r["path"] for r in rows if r["kind"] == "found"]
+        return family
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Index a batch of new documents (doc_id, text); the leads that occur again in it or in a level."""
-        entries = suffix_array(docs, self.length, self.prefix)
+        return self.index(suffix_array(docs, self.length, self.prefix))
+
+    def index(self, entries: DataFrame) -> DataFrame:
+        """The same for the entries of a batch."""
         new = self._write(entries.repartition("lead").sortWithinPartitions("lead", "doc_id", "start"), "level")
         array = self.spark.read.parquet(new)
         # the same lead next to itself in merge order, or in one run that can hold a window twice: within the batch, or first in the batch and then in a level
@@ -131,8 +147,8 @@ class Family:
             both = self.spark.read.parquet(a).unionByName(self.spark.read.parquet(b))
             merged = self._write(both.repartition("lead").sortWithinPartitions("lead", "doc_id", "start"), "level")
             self.levels[-2:] = [(rank + 1, merged)]
-            self._drop(a)
-            self._drop(b)
+            remove(self.spark, a)
+            remove(self.spark, b)
         return self.spark.read.parquet(self.found[-1])
 
     def leads(self) -> DataFrame:
@@ -142,7 +158,7 @@ class Family:
     def close(self) -> None:
         """Remove the levels; what was found stays."""
         for _, path in self.levels:
-            self._drop(path)
+            remove(self.spark, path)
         self.levels = []
 
 
@@ -198,8 +214,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, batches
     ship(spark)
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     family = Family(spark, length, prefix)
+    # one pass over the text makes the entries of all batches
+    entries = scratch(spark, "entries")
+    suffix_array(text, length, prefix).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(entries)
+    table = spark.read.schema("lead bigint, doc_id bigint, start int, n int, batch int").parquet(entries)
     for i in range(batches):
-        family.add(text.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
+        family.index(table.where(F.col("batch") == i).drop("batch"))
+    remove(spark, entries)
     family.close()
     leads = family.leads()
     number = leads.count()

@@ -72,3 +72,17 @@ def test_repeats_within_one_document_equal_brute_force(spark, send):
     got = repeats(spark.createDataFrame([*rows, short], "doc_id bigint, text string"), send_mb=send).collect()
     assert covered(got) == brute(rows, 50)[1]
     assert {(r["doc_id"], r["start"], r["other"]) for r in got} == {(p, 30, p) for p, _ in rows}
+
+
+def test_a_kept_family_takes_later_batches(spark):
+    words = [f"w{i * 7919 % 5003}" for i in range(300)]
+    old = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(f"o{i}" for i in range(200)))], "doc_id bigint, text string")
+    new = spark.createDataFrame([(3, "intro " + " ".join(words[100:200])), (4, " ".join(f"n{i}" for i in range(200)))], "doc_id bigint, text string")
+    family = Family(spark)
+    assert family.add(old).count() == 0
+    later = Family.open(spark, family.save())
+    found = later.add(new)
+    assert found.count() > 0 and [rank for rank, _ in later.levels] == [1]
+    level = spark.read.parquet(later.levels[0][1])
+    assert {r["doc_id"] for r in level.join(found, "lead", "left_semi").collect()} == {1, 3}
+    later.close()
