@@ -15,7 +15,8 @@ the part of the automaton that its own texts can reach, which gives the very sco
 block, so no key is hot. The number of ranges follows that of shuffle partitions; at a hundred times the data raise it, and ``block`` with it.
 
 Defined cases: null and empty texts, and those without a word, consist of the end alone; a null doc_id is scored like others; rows that repeat count and are scored as often as they come;
-without any row the result is empty; with another ``corpus`` that is empty, all probabilities are uniform. Other columns are ignored. N-grams are told apart by hashes of ``BITS`` bits: of 10^13 different ones, one in 7,000 would share its hash.
+without any row the result is empty; with another ``corpus`` that is empty, all probabilities are uniform. Other columns are ignored. N-grams are told apart by hashes that have ``MARGIN`` bits more than it takes to number those of the corpus (64 at most): up to 10^13 n-grams,
+one in a million shares its hash with another, however many there are.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from lexmill.llm._spark import stash
 from lexmill.llm._words import Words, mix, pieces
 from lexmill.session import ship
 
-ORDER, VOCABULARY, BLOCK, SEGMENT, BITS = 3, 1 << 20, 4 << 20, 256, 56
+ORDER, VOCABULARY, BLOCK, SEGMENT, MARGIN = 3, 1 << 20, 4 << 20, 256, 20
 #: The weight of the lower order in the counts of orders 1, 2 and 3; the last one holds for higher orders.
 PRIOR = (1.0, 16.0, 2.0)
 OUT = "doc_id bigint, n_tokens bigint, log_prob double, log_prob_per_token double, bits_per_token double"
@@ -48,7 +49,7 @@ def _row(block: int, part: int, data: bytes, ids=None, sizes=None, vocab=None) -
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Sorted integers as byte planes of their differences, compressed."""
+    """Integers, sorted or in few sorted stretches, as byte planes of their differences (modulo 2^64), compressed."""
     x = x.astype(np.uint64)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
 
@@ -102,10 +103,10 @@ class Block:
             out.append(x)
         return out
 
-    def types(self):
+    def types(self, bits: int = 64):
         """Sorted hashes of the n-grams at predicted places, the number of each at each place (orders x places), and how often it occurs."""
         at = self.predicted()
-        keys, inverse, counts = np.unique(np.concatenate([g[at] for g in self.grams()]) >> np.uint64(64 - BITS), return_inverse=True, return_counts=True)
+        keys, inverse, counts = np.unique(np.concatenate([g[at] for g in self.grams()]) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
         return keys, inverse.astype(np.int32).reshape(self.order, -1), counts
 
 
@@ -211,7 +212,7 @@ def automaton(block: Block, counts: np.ndarray, documents: int, tokens: int, apa
 
 
 def pack(docs: DataFrame, order: int, block: int) -> DataFrame:
-    """One row for each block of about ``block`` bytes of text: document ids, numbers of words, hashes and codes of words."""
+    """One row for each block of about ``block`` bytes of text: document ids, numbers of words, hashes and codes of words. Codes follow the frequency, so that most of their upper bytes are zero."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -224,8 +225,11 @@ def pack(docs: DataFrame, order: int, block: int) -> DataFrame:
 
         def flush():
             nonlocal number, size
-            words, inverse = np.unique(np.concatenate(held), return_inverse=True)
-            codes = inverse.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+            words, inverse, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            by = np.argsort(-n, kind="stable")
+            code = np.empty(len(by), np.uint16 if len(words) <= 1 << 16 else np.uint32)
+            code[by] = np.arange(len(by))
+            words, codes = words[by], code[inverse]
             row = _row(number, -1, bytes([codes.itemsize]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, codes.itemsize).T).tobytes()), list(ids), np.concatenate(sizes).tolist(), _planes(words))
             number += 1
             ids.clear(), held.clear(), sizes.clear()
@@ -263,17 +267,17 @@ def _each(batches) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _edges(parts: int) -> np.ndarray:
-    return np.array([(i << BITS) // parts for i in range(parts)], np.uint64)
+def _edges(parts: int, bits: int) -> np.ndarray:
+    return np.array([(i << bits) // parts for i in range(parts)], np.uint64)
 
 
-def _asks(blocks: DataFrame, order: int, parts: int, counted: bool, asked: bool) -> DataFrame:
+def _asks(blocks: DataFrame, order: int, parts: int, bits: int, counted: bool, asked: bool) -> DataFrame:
     """(block, part, vocab, data): the n-gram hashes of a block that lie in a range, and how often they occur; 0 times unless counted, block is -1 unless asked."""
 
     def run(batches):
         for row in _each(batches):
-            keys, _, n = _unpack(row, order).types()
-            cut = np.append(np.searchsorted(keys, _edges(parts)), len(keys))
+            keys, _, n = _unpack(row, order).types(bits)
+            cut = np.append(np.searchsorted(keys, _edges(parts, bits)), len(keys))
             for i in np.flatnonzero(np.diff(cut)):
                 a, b = cut[i], cut[i + 1]
                 yield _row(row["block"] if asked else -1, int(i), _small(n[a:b] if counted else np.zeros(b - a, np.int64)), vocab=_planes(keys[a:b]))
@@ -318,20 +322,20 @@ def lm_score(docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDE
     # two ranges for each partition of shuffles
     parts = parts or 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = stash(pack(docs, order, block), "blocks")
-    asks = _asks(blocks, order, parts, corpus is None, True)
-    known = blocks
-    if corpus is not None:
-        known = stash(pack(corpus, order, block), "blocks")
-        asks = asks.unionByName(_asks(known, order, parts, True, False))
+    known = blocks if corpus is None else stash(pack(corpus, order, block), "blocks")
     seen = known.select(F.size("sizes").alias("d"), F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("w")).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
     apart, documents, tokens = corpus is None, int(seen["d"]), int(seen["w"]) + int(seen["d"])
+    bits = min(64, (order * tokens).bit_length() + MARGIN)
+    asks = _asks(blocks, order, parts, bits, apart, True)
+    if not apart:
+        asks = asks.unionByName(_asks(known, order, parts, bits, True, False))
 
     def run(batches):
         held: list[dict] = []
 
         def scored():
             own = _unpack(held[0], order)
-            types = own.types()
+            types = own.types(bits)
             counts = np.concatenate([_from_small(r["data"]) for r in held[1:]]) + (types[2] if apart else 0)
             logs, n = automaton(own, counts, documents, tokens, apart, prior, vocabulary, types).score(own), own.sizes + 1
             return pa.RecordBatch.from_arrays([pa.array(held[0]["ids"], pa.int64()), pa.array(n), pa.array(logs), pa.array(logs / n), pa.array(-logs / n / np.log(2))], [x.split()[0] for x in OUT.split(", ")])
