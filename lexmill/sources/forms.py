@@ -79,4 +79,7 @@ concat({', '.join(parts)}) AS txt, CAST(k % 7 AS INT) AS page_count FROM (SELECT
 
 def forms_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, file_name, title, reference, summary, noisy, txt, page_count) of a directory with orders.parquet."""
-    return spark.sql(f"WITH {forms_sql(f'parquet.`{sf_dir}/orders.parquet`', 'STRING')} SELECT * FROM forms")
+    # keys are spread before texts are made of them: what follows runs on all cores, and whatever goes by document needs no other shuffle
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    orders = f"(SELECT /*+ REPARTITION({n}, o_orderkey) */ o_orderkey FROM parquet.`{sf_dir}/orders.parquet`)"
+    return spark.sql(f"WITH {forms_sql(orders, 'STRING')} SELECT * FROM forms")
