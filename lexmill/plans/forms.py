@@ -215,11 +215,14 @@ _PAIRS = [("modification", "conformity"), ("exception", "conformity"), ("modific
 
 @query("j8_j13_conflicts_of_forms", _xref_sql(_FR).replace("SELECT doc_id, source, 'Article ' || replace(unnest(ns), ',', '.') AS target, kind, text, context FROM n", f", r AS (SELECT doc_id, 'Article ' || source AS source, 'Article ' || replace(unnest(ns), ',', '.') AS target, kind FROM n), g AS (SELECT doc_id, target, list_sort(list(DISTINCT kind)) AS kinds FROM r GROUP BY ALL), b AS (SELECT DISTINCT a.doc_id, a.source, a.target FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.source = b.target AND a.target = b.source AND a.source <> a.target) SELECT r.doc_id, r.source, r.target, r.kind, b.source IS NOT NULL AS both_ways, (" + " OR ".join(f"list_contains(kinds, '{a}') AND list_contains(kinds, '{b}')" for a, b in _PAIRS) + ") AS conflict FROM r JOIN g USING (doc_id, target) LEFT JOIN b USING (doc_id, source, target)").replace("ns FROM x)\n, r AS", "ns FROM x), r AS"))
 def j13(spark, sf):
-    r = O.cross_references(O.article_forms(forms_corpus(spark, sf))).select("doc_id", F.concat(F.lit("Article "), "source").alias("source"), "target", "kind")
-    kinds = r.groupBy("doc_id", "target").agg(F.collect_set("kind").alias("kinds"))
-    back = r.where("source <> target").select("doc_id", F.col("target").alias("source"), F.col("source").alias("target"), F.lit(True).alias("back")).distinct()
+    from pyspark.sql import Window
+
+    r = O.cross_references(O.article_forms(forms_corpus(spark, sf))).where("doc_id is not null").select("doc_id", F.concat(F.lit("Article "), "source").alias("source"), "target", "kind")
+    cited, ends = Window.partitionBy("doc_id", "target"), Window.partitionBy("doc_id", F.least("source", "target"), F.greatest("source", "target"))
+    has = {k: F.bool_or(F.col("kind") == k).over(cited) for k in sorted({k for p in _PAIRS for k in p})}
     clash = None
     for a, b in _PAIRS:
-        c = F.array_contains("kinds", a) & F.array_contains("kinds", b)
-        clash = c if clash is None else clash | c
-    return r.join(kinds, ["doc_id", "target"]).join(back, ["doc_id", "source", "target"], "left").select("doc_id", "source", "target", "kind", F.coalesce("back", F.lit(False)).alias("both_ways"), clash.alias("conflict"))
+        clash = has[a] & has[b] if clash is None else clash | (has[a] & has[b])
+    up = F.col("source") < F.col("target")
+    both = (F.col("source") != F.col("target")) & F.bool_or(up).over(ends) & F.bool_or(~up).over(ends)
+    return r.select("doc_id", "source", "target", "kind", clash.alias("conflict")).select("doc_id", "source", "target", "kind", both.alias("both_ways"), "conflict")
