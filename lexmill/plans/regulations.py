@@ -16,10 +16,10 @@ def _sql_list(column, terms, low, high, most):
     return f"array_to_string(list_filter(list_transform(regexp_split_to_array({column}, '[.\\n]+'), lambda x: trim(x)), lambda x: length(x) BETWEEN {low} AND {high} AND ({cond}))[1:{most}], '; ')"
 
 
-def key_sentences(c, terms, low, high, most):
-    """The first sentences with a term, of a length between the bounds, joined."""
-    parts = F.filter(F.transform(F.split(F.col(c), r"[.\n]+"), lambda x: F.trim(x)), lambda x: F.length(x).between(low, high) & T.any_of(x, terms))
-    return F.array_join(F.slice(parts, 1, most), "; ")
+def key_sentences(terms, low, high, most):
+    """The first sentences with a term, of a length between the bounds, joined; of columns parts, the trimmed sentences, and lows, the same in lower case."""
+    found = F.filter("parts", lambda x, i: F.length(x).between(low, high) & T.any_low(F.get("lows", i), terms))
+    return F.array_join(F.slice(found, 1, most), "; ")
 
 
 _SCORE = [f"{w}::DOUBLE * {sql_hits('txt', terms)}" for _, w, terms in L.CATEGORIES]
@@ -33,16 +33,18 @@ def fields(corpus):
     """One row of fields for each regulation."""
     x = lambda c, p: F.regexp_extract(c, p, 1)
     none = lambda c: F.nullif(c, F.lit(""))
-    return corpus.select(
+    # at single points: what stands between two is empty, and shorter than any sentence that counts
+    sentences = lambda c: F.transform(F.split(F.replace(c, F.lit("\n"), F.lit(".")), r"\."), lambda x: F.trim(x))
+    return corpus.withColumn("low", F.lower("txt")).withColumns({"parts": sentences("txt"), "lows": sentences("low")}).select(
         "doc_id",
         "file_name",
         F.coalesce(none(x("txt", r"([RID]-[0-9]{4}/[0-9]{2})")), "file_name").alias("reference"),
         F.coalesce(none(x("txt", r"(?m)^(relati[^\n]+)")), "file_name").alias("title"),
         F.coalesce(none(x("txt", r"(?m)^Fait à [^,]+, le ([^\n]+)")), none(x("file_name", r"(\d{4}[-_]\d+)"))).alias("published"),
-        key_sentences("txt", L.OBLIGATION, 30, 250, 4).alias("obligations"),
-        key_sentences("txt", L.SANCTION, 20, 200, 3).alias("sanctions"),
-        T.impact("txt").alias("impact"),
-        T.category("txt").alias("category"),
+        key_sentences(L.OBLIGATION, 30, 250, 4).alias("obligations"),
+        key_sentences(L.SANCTION, 20, 200, 3).alias("sanctions"),
+        T.impact("low").alias("impact"),
+        T.category("low").alias("category"),
     )
 
 

@@ -97,7 +97,8 @@ def _sql_quality(c):
 SELECT origin, doc_id, round(c1, 6) AS quality, round((CASE WHEN w > 10 THEN 0.3 ELSE 0.0 END + 0.3 * {sql_alnum('text')} + CASE WHEN e > 0 THEN 0.2 ELSE 0.0 END + CASE WHEN mean > 20 AND mean < 100 THEN 0.2 ELSE 0.0 END)::DOUBLE, 6) AS text_quality, (length(trim(text)) >= 100 AND w >= 10 AND (c1 >= 0.6 OR ({sql_hits('text', L.ACCEPTANCE_TERMS)} >= 2 AND c1 >= 0.4))) AS accepted FROM c""")
 def p1(spark, sf):
     b = reg_corpus(spark, sf).select("doc_id", F.col("txt").alias("text"), F.lit("reg").alias("origin")).unionByName(table(spark, sf, "documents").select("doc_id", "text", F.lit("doc").alias("origin")))
-    return b.select("origin", "doc_id", F.round(T.extraction_quality("text"), 6).alias("quality"), F.round(T.text_quality("text"), 6).alias("text_quality"), T.accepted("text").alias("accepted"))
+    q = T.measured(b, "text").withColumn("q", T.extraction_quality())
+    return q.select("origin", "doc_id", F.round("q", 6).alias("quality"), F.round(T.text_quality(), 6).alias("text_quality"), T.accepted("text", "q").alias("accepted"))
 
 
 @query("c6_ocr_confidence", rf"""SELECT doc_id, round(greatest(0.0, least(1.0, 1 - (0.5 * CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[\p{{L}}\p{{N}}\s.,;:!?()''"-]', '', 'g'))::DOUBLE / length(text) ELSE 1 END + 0.3 * len(regexp_extract_all(text, '\p{{L}}{{10,}}'))::DOUBLE / greatest({sql_words('text')}, 1))))::DOUBLE, 6) AS confidence FROM documents""")
