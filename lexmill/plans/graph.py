@@ -22,6 +22,10 @@ def _refs(spark, sf):
     return a, E.references(a)
 
 
+def _links(spark, sf):
+    return E.links(E.articles(reg_corpus(spark, sf)))
+
+
 def _vertices(a):
     return a.select("doc_id", F.regexp_extract("number", "^([0-9]+)", 1).cast("int").alias("v")).distinct()
 
@@ -39,8 +43,11 @@ def j7(spark, sf):
 
 @query("j8_mutual_references", f"{_BASE} SELECT a.doc_id, a.src, a.dst FROM pair a JOIN pair b ON a.doc_id = b.doc_id AND a.src = b.dst AND a.dst = b.src")
 def j8(spark, sf):
-    e = G.pairs(_refs(spark, sf)[1])
-    return e.join(e.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst")), ["doc_id", "src", "dst"], "left_semi")
+    r = _refs(spark, sf)[1].where("src <> dst")
+    up = F.col("src") < F.col("dst")
+    both = r.groupBy("doc_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg((F.bool_or(up) & F.bool_or(~up)).alias("both")).where("both")
+    ways = F.array(F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst")), F.struct(F.col("hi").alias("src"), F.col("lo").alias("dst")))
+    return both.select("doc_id", F.explode(ways).alias("x")).select("doc_id", "x.src", "x.dst")
 
 
 @query("j13_conflicts", f"{REFS}, k AS (SELECT doc_id, src, dst, list(DISTINCT kind) AS kinds FROM refs GROUP BY ALL) SELECT doc_id, src, dst, c.a AS kind_a, c.b AS kind_b FROM k JOIN (VALUES {', '.join(str(c) for c in L.CONFLICTS)}) c(a, b) ON list_contains(kinds, c.a) AND list_contains(kinds, c.b)")
@@ -57,21 +64,17 @@ def a23(spark, sf):
 
 @query("a24_degrees", f"{_BASE}, {_DEG} SELECT * FROM deg")
 def a24(spark, sf):
-    a, r = _refs(spark, sf)
-    return G.degrees(_vertices(a), r)
+    return G.degrees(_links(spark, sf)).select("doc_id", "v", "n_in", "n_out")
 
 
 @query("a24_top_referenced", f"{_BASE}, {_DEG} SELECT doc_id, v, n_in FROM deg ORDER BY n_in DESC, doc_id, v LIMIT 10")
 def a24_top(spark, sf):
-    a, r = _refs(spark, sf)
-    return G.degrees(_vertices(a), r).orderBy(F.desc("n_in"), "doc_id", "v").limit(10).select("doc_id", "v", "n_in")
+    return G.degrees(_links(spark, sf)).orderBy(F.desc("n_in"), "doc_id", "v").limit(10).select("doc_id", "v", "n_in")
 
 
 @query("a25_isolated", f"{_BASE}, {_DEG} SELECT doc_id, v FROM deg WHERE n_in = 0 AND n_out = 0")
 def a25(spark, sf):
-    a, r = _refs(spark, sf)
-    e = G.pairs(r)
-    return _vertices(a).join(e.select("doc_id", F.col("src").alias("v")), ["doc_id", "v"], "left_anti").join(e.select("doc_id", F.col("dst").alias("v")), ["doc_id", "v"], "left_anti")
+    return G.degrees(_links(spark, sf)).where("n_in = 0 and n_out = 0").select("doc_id", "v")
 
 
 _COMP = _REC + ", both_ AS (SELECT doc_id, src, dst FROM pair UNION SELECT doc_id, dst, src FROM pair), reach AS (SELECT doc_id, v, v AS u FROM vert UNION SELECT r.doc_id, r.v, b.dst FROM reach r JOIN both_ b ON b.doc_id = r.doc_id AND b.src = r.u), comp AS (SELECT doc_id, v, min(u)::INT AS root FROM reach GROUP BY ALL)"
@@ -114,46 +117,31 @@ def n9_betweenness(spark, sf):
 
 @query("n9_degree_closeness", f"{_DIST}, n AS (SELECT doc_id, count(*) AS n FROM vert GROUP BY doc_id), c AS (SELECT doc_id, dst AS v, sum(d) AS s, count(*) AS k FROM dist GROUP BY ALL), {_DEG} SELECT g.doc_id, g.v, round(CASE WHEN n > 1 THEN (n_in + n_out)::DOUBLE / (n - 1) ELSE 0 END, 6) AS degree, round(CASE WHEN s > 0 THEN k::DOUBLE / s ELSE 0 END, 6) AS closeness FROM deg g JOIN n ON n.doc_id = g.doc_id LEFT JOIN c ON c.doc_id = g.doc_id AND c.v = g.v")
 def n9(spark, sf):
-    a, r = _refs(spark, sf)
-    v = _vertices(a)
-    n = v.groupBy("doc_id").agg(F.count("*").alias("n"))
-    c = G.distances(r).groupBy("doc_id", F.col("dst").alias("v")).agg(F.sum("d").alias("s"), F.count("*").alias("k"))
-    j = G.degrees(v, r).join(n, "doc_id").join(c, ["doc_id", "v"], "left")
-    return j.select("doc_id", "v", F.round(F.when(F.col("n") > 1, (F.col("n_in") + F.col("n_out")) / (F.col("n") - 1)).otherwise(0.0), 6).alias("degree"), F.round(F.when(F.col("s") > 0, F.col("k") / F.col("s")).otherwise(0.0), 6).alias("closeness"))
+    n, s = F.col("n"), F.col("s")
+    return G.nearness(_links(spark, sf)).select("doc_id", "v", F.round(F.when(n > 1, (F.col("n_in") + F.col("n_out")) / (n - 1)).otherwise(0.0), 6).alias("degree"), F.round(F.when(s > 0, (F.col("n_in") + F.col("far_in")) / s).otherwise(0.0), 6).alias("closeness"))
 
 
 @query("c44_dependency_score", f"{_DIST} SELECT v.doc_id, v.v, round(least(100.0, 3 * count(*) FILTER (dst = v AND d = 1) + 1 * count(*) FILTER (dst = v AND d > 1) + 0.5 * count(*) FILTER (src = v AND d = 1) + 0.2 * count(*) FILTER (src = v AND d > 1))::DOUBLE, 6) AS score FROM vert v LEFT JOIN dist ON dist.doc_id = v.doc_id AND (dist.src = v.v OR dist.dst = v.v) GROUP BY ALL")
 def c44(spark, sf):
-    a, r = _refs(spark, sf)
-    d = G.distances(r)
-    near = F.col("d") == 1
-    part = d.select("doc_id", F.col("dst").alias("v"), F.when(near, 3.0).otherwise(1.0).alias("s")).unionByName(d.select("doc_id", F.col("src").alias("v"), F.when(near, 0.5).otherwise(0.2).alias("s")))
-    g = part.groupBy("doc_id", "v").agg(F.sum("s").alias("s"))
-    return _vertices(a).join(g, ["doc_id", "v"], "left").select("doc_id", "v", F.round(F.least(F.lit(100.0), F.coalesce("s", F.lit(0.0))), 6).alias("score"))
+    total = 3.0 * F.col("n_in") + 1.0 * F.col("far_in") + 0.5 * F.col("n_out") + 0.2 * F.col("far_out")
+    return G.nearness(_links(spark, sf)).select("doc_id", "v", F.round(F.least(F.lit(100.0), total), 6).alias("score"))
 
 
 @query("a28_compliance_report", f"{_BASE}, {_DEG}, n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (n_in > 2) AS hubs, count(*) FILTER (n_in = 0 AND n_out = 0) AS isolated FROM deg GROUP BY doc_id), e AS (SELECT doc_id, count(*) AS e FROM pair GROUP BY doc_id), k AS (SELECT doc_id, count(*) FILTER (kind = 'conformity') AS conformity, count(*) FILTER (kind = 'modification') AS modification FROM refs GROUP BY doc_id) SELECT n.doc_id, n AS n_articles, coalesce(e, 0) AS n_edges, round(CASE WHEN n > 1 THEN coalesce(e, 0)::DOUBLE / (n * (n - 1)) ELSE 0 END, 6) AS density, hubs, isolated, coalesce(conformity, 0) AS conformity, coalesce(modification, 0) AS modification, round((n - isolated)::DOUBLE / n * 100, 6) AS connected FROM n LEFT JOIN e USING (doc_id) LEFT JOIN k USING (doc_id)")
 def a28(spark, sf):
-    a, r = _refs(spark, sf)
-    g = G.degrees(_vertices(a), r).groupBy("doc_id").agg(F.count("*").alias("n_articles"), F.count_if(F.col("n_in") > 2).alias("hubs"), F.count_if((F.col("n_in") == 0) & (F.col("n_out") == 0)).alias("isolated"))
-    e = G.pairs(r).groupBy("doc_id").agg(F.count("*").alias("n_edges"))
-    k = r.groupBy("doc_id").agg(F.count_if(F.col("kind") == "conformity").alias("conformity"), F.count_if(F.col("kind") == "modification").alias("modification"))
-    j = g.join(e, "doc_id", "left").join(k, "doc_id", "left").na.fill(0)
-    n = F.col("n_articles")
+    d, n = G.degrees(_links(spark, sf)), F.col("n_articles")
+    sums = [F.sum(c).alias(k) for c, k in (("n_out", "n_edges"), ("conformity", "conformity"), ("modification", "modification"))]
+    j = d.groupBy("doc_id").agg(F.count("*").alias("n_articles"), F.count_if(F.col("n_in") > 2).alias("hubs"), F.count_if((F.col("n_in") == 0) & (F.col("n_out") == 0)).alias("isolated"), *sums)
+    j = j.select("doc_id", "n_articles", "hubs", "isolated", "n_edges", "conformity", "modification")
     return j.withColumn("density", F.round(F.when(n > 1, F.col("n_edges") / (n * (n - 1))).otherwise(0.0), 6)).withColumn("connected", F.round((n - F.col("isolated")) / n * 100, 6))
 
 
 @query("a29_network_view", f"{_BASE}, {_DEG} SELECT doc_id, count(*) AS n_nodes, sum(n_out)::BIGINT AS n_edges, round(avg(n_in + n_out), 6) AS mean_degree, max(n_in + n_out) AS max_degree FROM deg GROUP BY doc_id")
 def a29(spark, sf):
-    a, r = _refs(spark, sf)
     both = F.col("n_in") + F.col("n_out")
-    return G.degrees(_vertices(a), r).groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.sum("n_out").alias("n_edges"), F.round(F.avg(both), 6).alias("mean_degree"), F.max(both).alias("max_degree"))
+    return G.degrees(_links(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.sum("n_out").alias("n_edges"), F.round(F.avg(both), 6).alias("mean_degree"), F.max(both).alias("max_degree"))
 
 
 @query("n10_network_bundle", f"{_COMP}, {_DEG}, c AS (SELECT doc_id, count(*) AS n_components, max(n) AS largest FROM (SELECT doc_id, root, count(*) AS n FROM comp GROUP BY ALL) GROUP BY doc_id), d AS (SELECT doc_id, count(*) AS n_vertices, sum(n_out)::BIGINT AS n_edges, max(n_in) AS most_referenced FROM deg GROUP BY doc_id) SELECT * FROM c JOIN d USING (doc_id)")
 def n10(spark, sf):
-    a, r = _refs(spark, sf)
-    v = _vertices(a)
-    c = G.components(v, r).groupBy("doc_id", "root").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("n_components"), F.max("n").alias("largest"))
-    d = G.degrees(v, r).groupBy("doc_id").agg(F.count("*").alias("n_vertices"), F.sum("n_out").alias("n_edges"), F.max("n_in").alias("most_referenced"))
-    return c.join(d, "doc_id")
+    return G.bundles(_links(spark, sf))

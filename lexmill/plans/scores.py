@@ -24,18 +24,42 @@ q AS (SELECT doc_id, {_C3} AS c3, 0.7 * kinds + 0.3 * coalesce(sequence, 0) AS c
 o AS (SELECT *, round(0.25 * c6 + 0.30 * c3 + 0.25 * c4 + 0.20 * c5, 6) AS overall FROM q)"""
 
 
-def document_quality(corpus):
-    """(doc_id, c3, c4, c5, c6, overall, status): completeness, coherence, term accuracy and OCR confidence."""
-    e = E.elements(corpus)
-    kinds = e.groupBy("doc_id").agg(*[F.max((F.col("level") == k).cast("int")).alias(f"k{k}") for k in (1, 2, 3, 5)]).select("doc_id", ((F.col("k1") + F.col("k2") + F.col("k3") + F.col("k5")) / 4.0).alias("kinds"))
-    a = e.where("level = 5").withColumn("n", T.number_key("number")["main"])
-    gap = F.col("n") - F.lag("n").over(Window.partitionBy("doc_id").orderBy("seq"))
-    seq = a.withColumn("gap", gap).groupBy("doc_id").agg(F.greatest(F.lit(0.0), 1 - 0.1 * F.count_if(F.col("gap") > 2)).alias("sequence"))
-    x = "txt"
-    c3 = 0.4 * F.least(T.n_words(x) / (100.0 * _PAGES), F.lit(1.0)) + 0.3 * F.least(F.length(x) / (500.0 * _PAGES), F.lit(1.0)) + 0.3 * F.least(T.hits(x, L.LEGAL_TERMS) / 5.0, F.lit(1.0))
-    c5 = F.greatest(F.lit(0.0), T.hits(x, L.ACCURACY_TERMS) / 9.0 - 0.1 * T.hits(x, L.MISSPELT))
-    d = corpus.select("doc_id", c3.alias("c3"), c5.alias("c5"), T.ocr_confidence(x).alias("c6")).join(kinds, "doc_id").join(seq, "doc_id", "left")
-    d = d.withColumn("c4", 0.7 * F.col("kinds") + 0.3 * F.coalesce("sequence", F.lit(0.0)))
+def _measures(corpus):
+    """The corpus with c3, c5 and c6 of each text."""
+    x, low = "txt", "low"
+    c = T.measured(corpus, x)
+    c3 = 0.4 * F.least(F.col("words") / (100.0 * _PAGES), F.lit(1.0)) + 0.3 * F.least(F.length(x) / (500.0 * _PAGES), F.lit(1.0)) + 0.3 * F.least(T.hits_low(low, L.LEGAL_TERMS) / 5.0, F.lit(1.0))
+    c5 = F.greatest(F.lit(0.0), T.hits_low(low, L.ACCURACY_TERMS) / 9.0 - 0.1 * T.hits_low(low, L.MISSPELT))
+    return c.withColumns({"c3": c3, "c5": c5, "c6": T.ocr_confidence(x, F.col("words"))})
+
+
+def document_quality(corpus, *more):
+    """(doc_id, c3, c4, c5, c6, overall, status, n_articles): completeness, coherence, term accuracy, OCR confidence and the number of articles.
+
+    One pass: what is known of a text goes along with its elements, and its first element takes up what windows of the document say of the others. Further columns are of ``elements_of``.
+    """
+    return graded(elements_of(_measures(corpus), *more)).drop(*(set(_PER_ELEMENT) - set(more)))
+
+
+_PER_ELEMENT = ["seq", "level", "number", "title", "body", "main", "kept"]
+
+
+def elements_of(measured, *more):
+    """The elements of measured texts, with their leading number and whether each is an article that counts: of more than 50 characters, the first of its number."""
+    e = E.elements(measured, "c3", "c5", "c6", *more).withColumn("main", T.number_key("number")["main"])
+    long = F.coalesce((F.col("level") == 5) & (F.length("body") > 50), F.lit(False))
+    first = F.row_number().over(Window.partitionBy("doc_id", "number", long).orderBy("seq"))
+    return e.withColumn("kept", long & (first == 1))
+
+
+def graded(e, **totals):
+    """The first element of each text with the qualities of its document, and further totals over the document's elements."""
+    whole, before = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    article = F.col("level") == 5
+    gap = F.when(article, F.col("main") - F.last(F.when(article, F.col("main")), True).over(before))
+    kinds = sum((F.max((F.col("level") == k).cast("int")).over(whole) for k in (1, 2, 3, 5)), F.lit(0)) / 4.0
+    e = e.withColumn("gap", gap).withColumns({"kinds": kinds, "wide": F.count_if(F.col("gap") > 2).over(whole), "any_article": F.bool_or(article).over(whole), "n_articles": F.count_if("kept").over(whole), **{k: v.over(whole) for k, v in totals.items()}})
+    d = e.where("seq = 0").withColumn("c4", 0.7 * F.col("kinds") + 0.3 * F.when(F.col("any_article"), F.greatest(F.lit(0.0), 1 - 0.1 * F.col("wide"))).otherwise(0.0))
     d = d.withColumn("overall", F.round(0.25 * F.col("c6") + 0.30 * F.col("c3") + 0.25 * F.col("c4") + 0.20 * F.col("c5"), 6))
     return d.withColumn("status", T.band("overall", _BANDS, "FAILED"))
 
@@ -58,17 +82,19 @@ def c12(spark, sf):
     return article_quality(E.articles(reg_corpus(spark, sf)))
 
 
+def article_measures():
+    """c9, c10 and c11 of an article with its body in lower case."""
+    size = F.length("body")
+    return {
+        "c9": 0.3 * F.when(size.between(100, 2000), 1.0).when(size < 100, 0.5).otherwise(0.8) + 0.4 * F.least(T.hits_low("low", L.ARTICLE_WORDS) / 3.0, F.lit(1.0)) + 0.3 * F.least(T.n_ends("body") / F.greatest(F.size(F.split("body", "\n")), F.lit(1)), F.lit(1.0)),
+        "c10": 0.5 * F.col("number").rlike("^[0-9]+").cast("int") + 0.3 * (F.col("title") != "").cast("int") + 0.2,
+        "c11": 0.6 + 0.4 * T.any_low("low", L.CRITICAL + L.HIGH).cast("int"),
+    }
+
+
 def article_quality(arts):
     """(doc_id, continuity, content, structure, materiality, quality, n_repeated)."""
-    n = T.number_key("number")["main"]
-    size = F.length("body")
-    one = arts.select(
-        "doc_id",
-        n.alias("n"),
-        (0.3 * F.when(size.between(100, 2000), 1.0).when(size < 100, 0.5).otherwise(0.8) + 0.4 * F.least(T.hits("body", L.ARTICLE_WORDS) / 3.0, F.lit(1.0)) + 0.3 * F.least(T.n_ends("body") / F.greatest(F.size(F.split("body", "\n")), F.lit(1)), F.lit(1.0))).alias("c9"),
-        (0.5 * F.col("number").rlike("^[0-9]+").cast("int") + 0.3 * (F.col("title") != "").cast("int") + 0.2).alias("c10"),
-        (0.6 + 0.4 * T.any_of("body", L.CRITICAL + L.HIGH).cast("int")).alias("c11"),
-    )
+    one = arts.select("doc_id", T.number_key("number")["main"].alias("n"), "number", "title", "body", F.lower("body").alias("low")).select("doc_id", "n", *[v.alias(k) for k, v in article_measures().items()])
     g = one.groupBy("doc_id").agg(F.greatest(F.lit(0.0), 1 - (F.max("n") - F.min("n") - (F.count("*") - 1)) / F.count("*")).alias("c8"), F.avg("c9").alias("c9"), F.avg("c10").alias("c10"), F.avg("c11").alias("c11"), (F.count("*") - F.countDistinct("n")).alias("n_repeated"))
     total = (F.col("c8") + F.col("c9") + F.col("c10") + F.col("c11")) / 4 * 100
     return g.select("doc_id", F.round("c8", 6).alias("continuity"), F.round("c9", 6).alias("content"), F.round("c10", 6).alias("structure"), F.round("c11", 6).alias("materiality"), F.round(total, 4).alias("quality"), "n_repeated")

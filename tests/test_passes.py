@@ -17,7 +17,11 @@ def optimized(df):
 
 
 #: Scans of tables: forms take orders, the corpus orders and lineitem.
-SCANS = {"j8_j13_conflicts_of_forms": 1, "g21_cross_references_fr": 1, "g12_p4_article_forms": 1, "g22_regulation_split": 1}
+SCANS = {"j8_j13_conflicts_of_forms": 1, "g21_cross_references_fr": 1, "g12_p4_article_forms": 1, "g22_regulation_split": 1} | dict.fromkeys(
+    ["a28_compliance_report", "a29_network_view", "a29_w9_edge_list", "a24_top_referencing", "a24_top_referenced", "n9_degree_closeness", "n10_network_bundle", "a25_isolated", "c44_dependency_score", "j8_mutual_references"]
+    + ["c3_c4_c5_c7_document_quality", "c13_c14_verdict", "w1_whole_documents"],
+    2,
+)
 
 
 @pytest.mark.parametrize("name", SCANS)
@@ -40,3 +44,10 @@ def test_many_matches_of_one_text(spark):
     assert rows[-2]["title"] == "Document réglementaire" and rows[-1]["title"].startswith("I. Une")
     at = df.where("doc_id = 1").select(F.explode(O.located("txt", "Règlement")).alias("x")).select("x.at").collect()
     assert [r["at"] for r in at] == [2 + 24 * i for i in range(4000)]
+
+
+def test_texts_are_measured_once(spark):
+    plan = optimized(QUERIES["p1_c1_c2_acceptance"](spark, SF))
+    # once for the corpus and once for the documents, where the union is pushed below
+    assert plan.count("lower(") <= 2 and plan.count("regexp_extract_all(") <= 4
+    assert optimized(QUERIES["g29_c26_c27_c28_c30_c32_c39_fields"](spark, SF)).count("lower(") == 1
